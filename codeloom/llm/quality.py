@@ -57,32 +57,36 @@ def _vote(low: Column, high: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The labelling rules. Each looks at one property and abstains between its two bounds."""
+    """The labelling rules. Each looks at one property and abstains unless it stands out: most faults say much about
+    a text, their absence says little. Sentence marks vote both ways."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     mean = F.col("word_chars") / n
     symbols, upper = F.col("n_symbols") / n, F.col("q_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     dup, rep = F.col("n_dup_lines") / F.greatest(F.col("q_n_lines"), F.lit(1)), F.col("n_repeat_words") / n
+    never = F.lit(False)
     return {
-        "length": _vote(n < 50, n >= 100),
-        "mean_word": _vote((mean < 2.5) | (mean > 12), (mean >= 3) & (mean <= 10)),
-        "symbols": _vote(symbols > 0.1, symbols <= 0.02),
-        "duplicate_lines": _vote(dup > 0.3, dup <= 0.05),
-        "repeated_words": _vote(rep > 0.2, rep <= 0.05),
+        "length": _vote(n < 20, never),
+        "mean_word": _vote((mean < 2.5) | (mean > 12), never),
+        "symbols": _vote(symbols > 0.1, never),
+        "duplicate_lines": _vote(dup > 0.3, never),
+        "repeated_words": _vote(rep > 0.2, never),
         "sentences": _vote(F.col("q_marks") / n < 0.01, (F.col("q_marks") / n >= 0.02) & (F.col("q_marks") / n <= 0.3)),
-        "capitals": _vote(upper > 0.2, upper <= 0.1),
-        "variety": _vote((F.col("q_distinct") / n < 0.2) & (n >= 100), F.col("q_distinct") / n >= 0.3),
+        "capitals": _vote(upper > 0.2, never),
+        "variety": _vote((F.col("q_distinct") / n < 0.2) & (n >= 100), never),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float, float]]]:
     """EM over vote patterns: the prior log-odds of "high", and per rule the log-odds of the votes -1, 0, 1.
 
-    A rule has a propensity of each vote in either class (Dawid-Skene with abstention). It starts from the majority
-    of votes; add-one smoothing keeps every probability inside (0, 1), and no patterns give an even prior. A rule's
-    vote never counts against its own side: estimated log-odds with the wrong sign are put to 0.
+    A rule has a propensity of each vote in either class (Dawid-Skene with abstention). Bad text comes in kinds that
+    break one rule each, so a majority of votes would start in the wrong place: EM starts with doubt wherever any rule votes
+    low. From there the estimated accuracies decide, and a rule that often stands alone against sound text loses weight. Add-one
+    smoothing keeps every probability inside (0, 1); no patterns give an even prior. A vote never counts
+    against its own side: estimated log-odds with the wrong sign are put to 0.
     """
     k = len(patterns[0][0]) if patterns else 0
-    post = [1 / (1 + math.exp(-sum(p))) for p, _ in patterns]
+    post = [0.1 if -1 in p else 0.95 for p, _ in patterns]
     prior, odds = 0.0, [(0.0, 0.0, 0.0)] * k
     for _ in range(rounds):
         high = 1 + sum(q * c for q, (_, c) in zip(post, patterns))
