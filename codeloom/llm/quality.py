@@ -68,7 +68,7 @@ def rules() -> dict[str, Column]:
         "length": _vote(n < 20, never),
         "mean_word": _vote((mean < 2.5) | (mean > 12), never),
         "symbols": _vote(symbols > 0.1, never),
-        "duplicate_lines": _vote(dup > 0.3, never),
+        "duplicate_lines": _vote((dup > 0.3) & (F.col("n_dup_lines") >= 3), never),
         "repeated_words": _vote(rep > 0.2, never),
         "sentences": _vote(F.col("q_marks") / n < 0.01, (F.col("q_marks") / n >= 0.02) & (F.col("q_marks") / n <= 0.3)),
         "capitals": _vote(upper > 0.2, never),
@@ -76,32 +76,34 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float, float]]]:
-    """EM over vote patterns: the prior log-odds of "high", and per rule the log-odds of the votes -1, 0, 1.
+def _logit(p: float) -> float:
+    return math.log(p / (1 - p))
 
-    A rule has a propensity of each vote in either class (Dawid-Skene with abstention). Bad text comes in kinds that
-    break one rule each, so a majority of votes would start in the wrong place: EM starts with doubt wherever any rule votes
-    low. From there the estimated accuracies decide, and a rule that often stands alone against sound text loses weight. Add-one
-    smoothing keeps every probability inside (0, 1); no patterns give an even prior. A vote never counts
-    against its own side: estimated log-odds with the wrong sign are put to 0.
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50, prior: float = 0.85, accuracy: float = 0.9, weight: float = 1.0) -> tuple[float, list[tuple[float, float, float]]]:
+    """EM over vote patterns: the log-odds of "high" before any vote, and per rule the log-odds that its votes -1, 0, 1 add.
+
+    A rule has an accuracy for each side: the share of its votes on that side that are right. EM estimates them from how the
+    rules' posteriors agree, with a Beta prior at ``accuracy`` that counts ``weight`` times as much as the rule's own votes; the
+    share of high texts has such a prior too. (Without them the classes are not identified: bad text comes in kinds
+    that break one rule each, and plain EM takes the largest kind for the low class.) Abstentions say nothing. A vote
+    never counts against its own side; no patterns leave the priors.
     """
-    k = len(patterns[0][0]) if patterns else 0
-    post = [0.1 if -1 in p else 0.95 for p, _ in patterns]
-    prior, odds = 0.0, [(0.0, 0.0, 0.0)] * k
+    k, n = (len(patterns[0][0]) if patterns else 0), sum(c for _, c in patterns)
+    share, right = prior, [[accuracy, accuracy] for _ in range(k)]
     for _ in range(rounds):
-        high = 1 + sum(q * c for q, (_, c) in zip(post, patterns))
-        low = 1 + sum((1 - q) * c for q, (_, c) in zip(post, patterns))
-        prior, odds = math.log(high / low), []
+        odds = []
+        for low, high in right:
+            odds.append((min(0.0, -_logit(low) - _logit(share)), 0.0, max(0.0, _logit(high) - _logit(share))))
+        post = [1 / (1 + math.exp(-(_logit(share) + sum(odds[r][v + 1] for r, v in enumerate(p))))) for p, _ in patterns]
+        share = (sum(q * c for q, (_, c) in zip(post, patterns)) + prior * n) / (2 * n) if n else prior
         for r in range(k):
-            up, down = {-1: 1.0, 0: 1.0, 1: 1.0}, {-1: 1.0, 0: 1.0, 1: 1.0}
-            for q, (p, c) in zip(post, patterns):
-                up[p[r]] += q * c
-                down[p[r]] += (1 - q) * c
-            su, sd = sum(up.values()), sum(down.values())
-            o = {v: math.log(up[v] / su) - math.log(down[v] / sd) for v in (-1, 0, 1)}
-            odds.append((min(0.0, o[-1]), 0.0, max(0.0, o[1])))
-        post = [1 / (1 + math.exp(-max(-500, min(500, prior + sum(odds[r][v + 1] for r, v in enumerate(p)))))) for p, _ in patterns]
-    return prior, odds
+            for side, v in enumerate((-1, 1)):
+                votes = [((1 - q) if v < 0 else q, c) for q, (p, c) in zip(post, patterns) if p[r] == v]
+                m = sum(c for _, c in votes)
+                right[r][side] = min(0.999, (sum(q * c for q, c in votes) + accuracy * weight * m) / (m + weight * m)) if m else accuracy
+    odds = [(min(0.0, -_logit(low) - _logit(share)), 0.0, max(0.0, _logit(high) - _logit(share))) for low, high in right]
+    return _logit(share), odds
 
 
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
