@@ -219,11 +219,14 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     scratch = common.Scratch(spark, "suffix")
     base = docs.select(F.col("doc_id").cast("long").alias("s_id"), F.xxhash64(F.col("text").cast("string")).alias("s_th"), F.col("text").cast("string").alias("s_text"))
     twice = _places(base, True).groupBy("s_h").agg(F.sum("s_n").alias("s_n")).where("s_n > 1").select("s_h")
-    # narrow rows; a frequent anchor is a skewed key of a plain join, which adaptive execution splits
+    # narrow rows; a frequent anchor is a skewed key of a plain join, which adaptive execution splits (only where no
+    # aggregate stands between exchange and join, hence the tables)
+    twice = scratch.save(twice, "twice")
     occ = scratch.save(_places(base, False).join(twice, "s_h"), "anchors")
     ctx = occ.groupBy("s_h", "s_c").agg(F.count("*").alias("s_n"), F.min(F.struct("s_id", "s_th", "s_q")).alias("s_rep"))
     ctx = scratch.save(ctx, "contexts")
     several = ctx.groupBy("s_h").agg(F.count("*").alias("s_k")).where("s_k > 1")
+    several = scratch.save(several, "several")
     whole = occ.join(ctx.where("s_n > 1").select("s_h", "s_c"), ["s_h", "s_c"])
     none = F.lit(None).cast("long")
     marks = whole.select("s_id", "s_th", F.struct("s_q", none.alias("s_h"), F.lit(False).alias("s_hot")).alias("m"))
