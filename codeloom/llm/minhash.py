@@ -227,6 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     banded = classes.select(F.col("m_rep"), band.alias("m_b")).select("m_rep", F.col("m_b.k").alias("m_k"), (F.col("m_b.i") % 3).alias("m_t"))
     centre = F.min(F.struct(F.xxhash64("m_rep", "m_t").alias("h"), F.col("m_rep").alias("c")))  # one of three, not always the smallest id
     buckets = banded.groupBy("m_k").agg(centre.alias("m_c"), F.count("*").alias("m_size")).where("m_size > 1").select("m_k", F.col("m_c.c").alias("m_centre"), "m_size")
+    buckets = scratch.save(buckets, "buckets")  # a plain side of the join, so that a hot bucket can be split
     members = scratch.save(banded.select("m_k", "m_rep").join(buckets, "m_k"), "members")
     wanted = members.select(F.col("m_rep").alias("doc_id")).distinct()
 
