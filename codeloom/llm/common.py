@@ -33,7 +33,9 @@ def words_of(c: Column) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once, so that they need no copy of the repository."""
+    """Send this package to the Python workers once, so that they need no copy of the repository, and bound their batches."""
+    # Texts differ in length by orders of magnitude: batches for Python are bounded by bytes, not by rows
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     sc = spark.sparkContext
     if sc in _shipped:
         return

@@ -44,7 +44,7 @@ class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h

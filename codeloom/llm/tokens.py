@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that a worker's cache holds before it starts anew: bounds memory, never results.
-CACHE = 400_000
+CACHE = 150_000
 _state: dict = {}
 
 
@@ -126,7 +126,7 @@ def count_cache(path: str, whole: frozenset[str]) -> CountCache:
     return _state[key]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part holds about ``most`` characters, one row at least."""
     at = size = 0
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()

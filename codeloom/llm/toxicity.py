@@ -13,6 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,18 +35,32 @@ def fold(text: str) -> str:
 
 
 def fold_word(word: str) -> str:
-    """A word's letters. Digits and signs count as letters only beside letters, so numbers stay numbers."""
+    """A word's folded letters. Digits and signs count as letters only beside letters, so numbers stay numbers."""
+    word = fold(word)
     if word.isalpha():
         return word
-    core = word.strip(".,;:?!\"'()[]{}")
+    core = word.strip(".,;:?!\"'()[]{} ")
     if not any(c.isalpha() for c in core):
-        return core
+        return core.replace(" ", "")
     return "".join(c for c in core.translate(DIGITS) if c.isalnum())
 
 
+class _Folds(dict):
+    """word -> folded word, for the words seen lately."""
+
+    def __missing__(self, w: str) -> str:
+        if len(self) > 150_000:
+            self.clear()
+        f = self[w] = fold_word(w)
+        return f
+
+
+_folds = _Folds()
+
+
 def folded(text: str | None) -> str:
     """The folded words, each between single spaces: ``" w1 w2 "``. No words: one space."""
-    words = [f for w in fold(text or "").split() if (f := fold_word(w))]
+    words = [f for f in map(_folds.__getitem__, (text or "").split()) if f]
     return " " + " ".join(words) + " " if words else " "
 
 
@@ -181,7 +196,7 @@ def _third(c: str):
     return F.pmod(F.crc32(F.col(c).cast("string").cast("binary")), F.lit(4))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, hold_out: bool = True) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, hold_out: bool = True) -> dict:
     """The model. Labels count from rows whose ``crc32(doc_id as text) mod 4`` is not 2 (unless ``hold_out`` is off), at most
     ``max_train`` of them: those with the smallest hashes, the bound of the sample. Conflicting labels count as toxic.
     """
@@ -205,11 +220,11 @@ def scorer(spark, model: dict, threshold: float = 0.3):
     common.ship(spark)
     shared = spark.sparkContext.broadcast(model)  # at most max_terms terms and as many exceptions
 
-    @F.pandas_udf("double")
-    def toxic_score(texts: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def toxic_score(texts: pa.Array) -> pa.Array:
         from codeloom.llm import toxicity
 
-        return pd.Series(toxicity.scores(shared.value, texts, threshold))
+        return pa.array(toxicity.scores(shared.value, texts.to_pylist(), threshold), pa.float64())
 
     return toxic_score
 
@@ -229,7 +244,7 @@ def scores(model: dict, texts, threshold: float) -> list[float]:
     return out
 
 
-def score(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, threshold: float = 0.3, hold_out: bool = True) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, threshold: float = 0.3, hold_out: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for every row of ``docs``.
 
     Null and empty texts match nothing and score 0; a null doc_id is held in; without labels of both classes every score is 0;
