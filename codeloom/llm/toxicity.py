@@ -114,43 +114,51 @@ def length_of(body: str) -> float:
     return math.sqrt(max(25, body.count(" ") - 1))
 
 
-def learn(sample: DataFrame, max_terms: int = 4000, least: int = 3) -> dict:
+def learn(sample: DataFrame, max_terms: int = 4000, max_candidates: int = 50_000, least: int = 3) -> dict:
     """Lexicon, exceptions and calibration from (t_text, t_y) rows. ``sample`` is bounded by its maker."""
 
-    def explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        from codeloom.llm import toxicity
-
-        def counted(count: dict[int, Counter], docs: list[int]) -> pd.DataFrame:
-            terms = [*(count[0].keys() | count[1].keys())]
-            return pd.DataFrame({"t_term": ["", *terms], "t_clean": [docs[0], *(count[0][t] for t in terms)], "t_toxic": [docs[1], *(count[1][t] for t in terms)]})
-
-        count, docs = {0: Counter(), 1: Counter()}, [0, 0]
-        for f in frames:
-            for text, y in zip(f["t_text"], f["t_y"]):
-                count[int(y)].update(toxicity.terms(toxicity.folded(text)))
-                docs[int(y)] += 1
-                if len(count[0]) + len(count[1]) > 200_000:  # counts add up, so memory stays bounded
-                    yield counted(count, docs)
-                    count, docs = {0: Counter(), 1: Counter()}, [0, 0]
-        yield counted(count, docs)
-
-    counts = sample.mapInPandas(explode, "t_term string, t_clean long, t_toxic long").groupBy("t_term").agg(F.sum("t_clean").alias("t_clean"), F.sum("t_toxic").alias("t_toxic"))
-    n = counts.where(F.col("t_term") == "").first()
-    n_clean, n_toxic = (n["t_clean"] or 0, n["t_toxic"] or 0) if n else (0, 0)
+    def counted(of: int, among: frozenset | None):
+        """A function that counts, in how many documents of a class, the terms that are ``among`` some (none given: all)."""
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from collections import Counter
+
+            from codeloom.llm import toxicity
+
+            count, docs = Counter(), 0
+            for f in frames:
+                for text, y in zip(f["t_text"], f["t_y"]):
+                    if int(y) == of:
+                        found = toxicity.terms(toxicity.folded(text))
+                        count.update(found if among is None else found & among)
+                        docs += 1
+                    if len(count) > 200_000:  # counts add up, so memory stays bounded
+                        yield pd.DataFrame({"t_term": [*count], "t_n": [*count.values()]})
+                        count = Counter()
+            yield pd.DataFrame({"t_term": ["", *count], "t_n": [docs, *count.values()]})
+
+        return run
+
+    def table(of: int, among: frozenset | None, name: str) -> DataFrame:
+        return sample.mapInPandas(counted(of, among), "t_term string, t_n long").groupBy("t_term").agg(F.sum("t_n").alias(name))
+
+    # terms of toxic documents first; only the most frequent ``max_candidates`` are counted in clean ones
+    found = table(1, None, "t_toxic").where((F.col("t_toxic") >= least) | (F.col("t_term") == "")).orderBy(F.col("t_toxic").desc(), "t_term").limit(max_candidates).collect()
+    toxic = {r["t_term"]: r["t_toxic"] for r in found}
+    n_toxic = toxic.pop("", 0)
+    clean = {r["t_term"]: r["t_clean"] for r in table(0, frozenset(toxic), "t_clean").collect()}
+    n_clean = clean.pop("", 0)
     if not n_toxic or not n_clean:
         return {"lexicon": {}, "exceptions": [], "cut": 0.0, "scale": 1.0}
-    odds = F.log((F.col("t_toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("t_clean") + 0.5) / (n_clean + 1))
-    top = counts.where(F.col("t_term") != "").withColumn("t_w", odds).where((F.col("t_toxic") >= least) & (F.col("t_w") > 2.5))
-    top = top.orderBy((F.col("t_w") * F.sqrt("t_toxic")).desc(), "t_term").limit(max_terms).collect()
+    weigh = lambda t: math.log((toxic[t] + 0.5) / (n_toxic + 1)) - math.log((clean.get(t, 0) + 0.5) / (n_clean + 1))
+    weights = {t: w for t in toxic if (w := weigh(t)) > 2.5}
+    top = sorted(weights, key=lambda t: (-weights[t] * math.sqrt(toxic[t]), t))[:max_terms]
     lexicon: dict[str, float] = {}
-    for r in sorted(top, key=lambda r: (len(r["t_term"].rstrip()), r["t_term"])):
-        t = r["t_term"]
+    for t in sorted(top, key=lambda t: (len(t.rstrip()), t)):
         # a term that a kept beginning already matches adds nothing, unless it weighs more
-        if any(t[:k] in lexicon and lexicon[t[:k]] >= r["t_w"] - 1e-9 for k in range(1 + SHORTEST, len(t))):
+        if any(t[:k] in lexicon and lexicon[t[:k]] >= weights[t] - 1e-9 for k in range(1 + SHORTEST, len(t))):
             continue
-        lexicon[t] = round(float(r["t_w"]), 6)
+        lexicon[t] = round(weights[t], 6)
 
     def phrases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Scores of the sample, and the two-word phrases around matches, for exceptions and calibration."""
@@ -208,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, hold_out: b
     rows = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.col("text").cast("string").alias("t_text"))
     scratch = common.Scratch(docs.sparkSession, "toxicity")
     # max_train narrow rows are a proven bound for the broadcast; the texts stay where they are read
-    sample = scratch.save(rows.join(F.broadcast(y), F.col("t_doc") == F.col("t_id")).select("t_text", "t_y"), "sample")
+    sample = scratch.save(rows.join(F.broadcast(y), F.col("t_doc") == F.col("t_id")).select("t_text", "t_y").repartition(24, "t_text"), "sample")
     try:
         return learn(sample)
     finally:
