@@ -113,7 +113,7 @@ def build_modules(nodes: DataFrame, members: DataFrame, seeds: list[str], overla
     spark = nodes.sparkSession
     s = spark.createDataFrame(list(enumerate(seeds[:8])), "k int, id string")
     own = s.join(members, "id").select("k", "component")
-    bits = members.join(own, "component").groupBy("id").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("k"))).alias("mask"))
+    bits = members.join(own, "component").groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, k)")).alias("mask"))
     counts = [(r["mask"], r["count"]) for r in bits.groupBy("mask").count().collect()]
     size = lambda both: sum(n for m, n in counts if both(m))
     modules: list[tuple[int, int]] = []  # centre, seeds as bits

@@ -81,15 +81,20 @@ def inherit(nodes: DataFrame, earlier: DataFrame) -> DataFrame:
 # Extensions: windows over an event stream (event_id, ts, user_id, event_type, value), the same for batch and stream.
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Streams need an instant as event time; batches keep the type they have."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
+    w = _timed(events).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
     return w.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
-    s = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    s = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return s.select("user_id", F.col("session_window.start").alias("start"), "n")
 
 
 def distinct_events(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
