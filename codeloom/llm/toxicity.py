@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, hold_out: b
     rows = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.col("text").cast("string").alias("t_text"))
     scratch = common.Scratch(docs.sparkSession, "toxicity")
     # max_train narrow rows are a proven bound for the broadcast; the texts stay where they are read
-    sample = scratch.save(rows.join(F.broadcast(y), F.col("t_doc") == F.col("t_id")).select("t_text", "t_y").repartition(24, "t_text"), "sample")
+    sample = scratch.save(rows.join(F.broadcast(y), F.col("t_doc") == F.col("t_id")).repartition(24, "t_doc").select("t_text", "t_y"), "sample")
     try:
         return learn(sample)
     finally:
