@@ -104,12 +104,27 @@ class Merger:
             if (r := raw(t)) not in ranks:
                 ranks[r] = len(ids)
                 ids.append(vocab.get(t, -1))
+        self.to_byte, self.last = to_byte, np.array([r.endswith(END.encode()) for r in ranks])
         self.ids, self.feed = np.array(ids, "<i8").astype("<u4"), ranks[b"\n" + END.encode()]
         rank = {m: i for i, m in reversed([*enumerate(merges)])}
         self.unproven = {ranks[raw(a + b)] for a, b in merges if not _builds(a + b, rank)} | {i for i, t in enumerate(ids) if t < 0}
         self.bad = np.array(sorted(self.unproven), np.int64)
         self.engine = tiktoken.Encoding("merges", pat_str=f"[^{END}]+{END}", mergeable_ranks=ranks, special_tokens={})
 
+    def text(self, token: str) -> str:
+        """The text of a byte-level string; bytes that are no text give one that matches nothing."""
+        return bytes(self.to_byte[c] for c in token).decode("utf-8", "replace")
+
+    def counts(self, pieces: list[str]) -> list[int]:
+        """Tokens of plain pre-tokens; -1 where the library has to look."""
+        if not pieces:
+            return []
+        got = self.engine.encode_to_numpy(END.join([*pieces, ""]))
+        n = np.diff(np.flatnonzero(self.last[got]), prepend=-1)
+        if len(self.bad):
+            n[np.searchsorted(np.flatnonzero(self.last[got]), np.flatnonzero(np.isin(got, self.bad)))] = -1
+        return n.tolist()
+
     def encode(self, chunks: list[str]) -> list[bytes | None]:
         """Ids of plain chunks as bytes; None where the library has to look."""
         if not chunks:
@@ -179,23 +194,60 @@ class IdCache(dict):
 
 
 class CountCache(dict):
-    """chunk -> number of tokens, by the whole-token shortcut."""
+    """chunk -> number of tokens, by the whole-token shortcut. Two generations, as for ids."""
 
     def __init__(self, path: str, whole: frozenset[str]):
         super().__init__({"": 0})
-        self.tok, self.whole, self.special = load(path), whole, [t.content for t in load(path).get_added_tokens_decoder().values()]
+        self.tok, self.whole, self.old = load(path), whole, {}
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.merger = Merger(path)
+        self.known = {self.merger.text(t) for t in whole}
 
     def __missing__(self, chunk: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        if any(s in chunk for s in self.special):  # special strings inside a text: the library's default
-            n = len(self.tok.encode(chunk, add_special_tokens=False).ids)
-        else:
-            pre = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
-            n = sum(1 if p in self.whole else len(self.tok.model.tokenize(p)) for p, _ in pre)
+        n = self.old.get(chunk)
+        if n is None:
+            if any(s in chunk for s in self.special):  # special strings inside a text: the library's default
+                n = len(self.tok.encode(chunk, add_special_tokens=False).ids)
+            else:
+                pre = self.tok.pre_tokenizer.pre_tokenize_str(self.tok.normalizer.normalize_str(chunk))
+                n = sum(1 if p in self.whole else len(self.tok.model.tokenize(p)) for p, _ in pre)
         self[chunk] = n
         return n
 
+    def learn(self, texts: list[str]) -> list[list[str]]:
+        """Count all unknown chunks of some texts: proven pre-tokens at once, the rest by merging each different one."""
+        split = [chunks(t) for t in texts]
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+            self[""] = 0
+        missing = set().union(*split).difference(self)
+        for w in missing.intersection(self.old):
+            self[w] = self.old[w]
+        new = [w for w in missing if w not in self.old]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            text = "\n".join(part)
+            if "<|" in text or not _PLAIN(text):
+                part = [w for w in part if "<|" not in w and _PLAIN(w)]
+            flat = _PIECES("\n".join([*part, ""]).lower()) if part else []
+            rest = [p for p in set(flat).difference(self.known) if p != "\n"]
+            merged = dict(zip(rest, self.merger.counts(rest)))
+            each, n, ok = iter(part), 0, True
+            for p in flat:
+                if p == "\n":
+                    w = next(each)
+                    if ok:
+                        self[w] = n
+                    n, ok = 0, True
+                else:
+                    k = merged.get(p, 1)
+                    n, ok = n + k, ok and k > 0
+        return split
+
+    def count_all(self, texts: list[str]) -> list[int]:
+        return [sum(map(self.__getitem__, ws)) for ws in self.learn(texts)]
+
 
 def id_cache(path: str) -> IdCache:
     key = ("ids", path)
@@ -242,7 +294,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
         for b in batches:
             for part in tokens.slices(b, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                n = [sum(map(cache.__getitem__, tokens.chunks(t))) for t in texts]
+                n = cache.count_all(texts)
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
