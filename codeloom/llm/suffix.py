@@ -186,7 +186,8 @@ def _contexts_repeated(ctx: DataFrame, scratch: common.Scratch) -> DataFrame:
 
     cold = ctx.where(~F.col("s_hot"))
     n_batches = max(1, -(-cold.count() // BATCH))
-    cold = cold.withColumn("s_batch", F.pmod(F.xxhash64("s_h"), F.lit(n_batches)))
+    # the number of tasks follows the number of batches, so that no task gets more of them as the input grows
+    cold = cold.withColumn("s_batch", F.pmod(F.xxhash64("s_h"), F.lit(n_batches))).repartition(n_batches, "s_batch")
     found = cold.groupBy("s_batch").applyInArrow(build, out)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
