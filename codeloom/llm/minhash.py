@@ -276,7 +276,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` less near-duplicates: the document with the smallest id of each group stays, once."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("m_gone")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(gone, F.col("doc_id").cast("long") == F.col("m_gone"), "left_anti")
-    return named.dropDuplicates(["doc_id"]).union(docs.where(F.col("doc_id").isNull()))
+    """The rows of ``docs`` less near-duplicates: the document with the smallest id of each group stays, once.
+
+    Rows with a null doc_id stay. Of rows with one doc_id one stays; only such rows are grouped, so texts of others move once at most.
+    """
+    fate = near_duplicates(docs, percent).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("kept").alias("m_kept"), F.count("*").alias("m_c"))
+    fate = fate.where(~F.col("m_kept") | (F.col("m_c") > 1)).select(F.col("doc_id").alias("m_id"), "m_kept")
+    fate = common.Scratch(docs.sparkSession, "one-of-each").save(fate, "fate")
+    id_ = F.col("doc_id").cast("long")
+    once = docs.join(fate, id_ == fate["m_id"], "left_anti")  # null ids match nothing and stay
+    again = fate.where("m_kept")
+    if again.isEmpty():
+        return once
+    return once.union(docs.join(again, id_ == again["m_id"], "left_semi").dropDuplicates(["doc_id"]))
