@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +49,53 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc)
 
 
+_owner: str | None = None
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def caches(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to empty what an operator's module keeps in a Python worker."""
+    _caches[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """In a Python worker, which lives on between stages: empty what other operators left in it."""
+    global _owner
+    if _owner != owner:
+        _owner = owner
+        for k, clear in _caches.items():
+            if k != owner:
+                clear()
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers wait beside others that need it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def worker(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that finds no caches of other operators in its worker and leaves no freed memory there."""
+
+    def whole(batches: Iterator) -> Iterator:
+        from codeloom.llm import common
+
+        common.enter(owner)
+        yield from run(batches)
+        common.give_back()
+
+    return whole
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share; our own choice only where the cluster names none (tests)."""
     return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"

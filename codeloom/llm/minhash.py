@@ -51,6 +51,7 @@ class _Words(dict):
 
 
 _words = _Words()
+common.caches("minhash", _words.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     regs.append(m.registers(h).tobytes() if len(h) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "m_f1", "m_f2", "m_regs"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("m_text")).mapInArrow(run, "doc_id long, n_shingles long, m_f1 long, m_f2 long, m_regs binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("m_text")).mapInArrow(common.worker("minhash", run), "doc_id long, n_shingles long, m_f1 long, m_f2 long, m_regs binary")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -139,7 +140,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
                 ok = m.estimate(ra, rb, b.column("na").to_numpy(), b.column("nb").to_numpy()) >= least
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(common.worker("minhash", run), "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -164,7 +165,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "za", "zb").mapInArrow(common.worker("minhash", run), "a long, b long").distinct()
 
 
 def _prefixes(texts: DataFrame, of: DataFrame, percent: int, scratch: common.Scratch) -> DataFrame:
@@ -186,7 +187,7 @@ def _prefixes(texts: DataFrame, of: DataFrame, percent: int, scratch: common.Scr
                 h = m.shingle_set(unpack.decompress(b.column("m_z")[i].as_py()).decode("utf-8", "surrogatepass"))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b.column("doc_id")[i].as_py())), pa.array(np.full(len(h), b.column("m_comp")[i].as_py())), pa.array(np.full(len(h), len(h))), pa.array(h.astype(np.int64))], ["doc_id", "m_comp", "m_n", "m_s"])
 
-    rows = texts.join(of, "doc_id").select("doc_id", "m_comp", "m_z").mapInArrow(run, "doc_id long, m_comp long, m_n long, m_s long")
+    rows = texts.join(of, "doc_id").select("doc_id", "m_comp", "m_z").mapInArrow(common.worker("minhash", run), "doc_id long, m_comp long, m_n long, m_s long")
     rows = scratch.save(rows, "hot-shingles")
     held = rows.groupBy("m_s").agg(F.count("*").alias("m_df"))
     # a document's own shingles in one row, a bounded group: they are one text's
@@ -240,7 +241,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "m_z"])
 
     # one move of the texts: the candidates' texts, packed, serve both rounds
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("m_text")).mapInArrow(pack, "doc_id long, m_z binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("m_text")).mapInArrow(common.worker("minhash", pack), "doc_id long, m_z binary")
     texts = scratch.save(texts.join(wanted, "doc_id"), "texts")
 
     # a pair at the threshold falls below this bound with a probability of 2e-8 (5.5 deviations)

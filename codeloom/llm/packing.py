@@ -113,4 +113,4 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.worker("tokens", run), SCHEMA)

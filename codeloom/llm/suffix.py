@@ -36,6 +36,7 @@ _U = np.uint64
 # Odd multipliers of the two rolling hashes.
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+common.caches("suffix", _powers.clear)
 
 
 def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +146,7 @@ def _places(docs: DataFrame, counts: bool) -> DataFrame:
                     c, q = np.concatenate([g[2] for g in got]), np.concatenate([g[0] for g in got])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), part.column("s_id").take(row), part.column("s_th").take(row), pa.array(q.astype(np.int32))], ["s_h", "s_c", "s_id", "s_th", "s_q"])
 
-    return docs.mapInArrow(run, "s_h long, s_n long" if counts else "s_h long, s_c long, s_id long, s_th long, s_q int")
+    return docs.mapInArrow(common.worker("suffix", run), "s_h long, s_n long" if counts else "s_h long, s_c long, s_id long, s_th long, s_q int")
 
 
 def _digest(data: bytes, windows: list[tuple[int, int]]) -> tuple[int, int, str]:
@@ -165,8 +166,9 @@ def _contexts_repeated(ctx: DataFrame, scratch: common.Scratch) -> DataFrame:
     out = "s_id long, s_th long, s_a int, s_b int"
 
     def build(table: pa.Table) -> pa.Table:
-        from codeloom.llm import bwt
+        from codeloom.llm import bwt, common
 
+        common.enter("suffix")
         grams: dict[bytes, int] = {}
         strings, lefts = [], []
         for left, right, g in zip(*(table.column(c).to_pylist() for c in ("s_left", "s_right", "s_gram"))):
@@ -203,7 +205,7 @@ def _contexts_repeated(ctx: DataFrame, scratch: common.Scratch) -> DataFrame:
     hot = ctx.where("s_hot")
     if hot.isEmpty():
         return found
-    each = scratch.save(hot.mapInArrow(windows, "s_id long, s_th long, s_a int, s_w binary"), "windows")
+    each = scratch.save(hot.mapInArrow(common.worker("suffix", windows), "s_id long, s_th long, s_a int, s_w binary"), "windows")
     twice = each.groupBy("s_w").count().where("count > 1").drop("count")
     return found.union(each.join(twice, "s_w").select("s_id", "s_th", "s_a", F.col("s_a").alias("s_b")))
 
@@ -278,7 +280,7 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*[x.take(row) for x in ids], *[pa.nulls(len(row), kinds[k]) for k in names[2:9]], *[pa.array(ctx[k], kinds[k]) for k in names[9:]], *[pa.nulls(len(row), part.column(e).type) for e, _ in extra]], [*names, *[e for e, _ in extra]])
 
     joined = _same(rows, marks, "left").select("s_id", "s_th", "s_text", "s_m", *[e for e, _ in extra])
-    table = scratch.save(joined.mapInArrow(first, schema), "first")
+    table = scratch.save(joined.mapInArrow(common.worker("suffix", first), schema), "first")
     scratch.drop(occ, ctx)
     got = _contexts_repeated(table.where("s_q is not null").select("s_id", "s_th", *names[9:]), scratch)
     got = scratch.save(got, "repeated").groupBy("s_id", "s_th").agg(F.collect_list("s_a").alias("s_ga"), F.collect_list("s_b").alias("s_gb"))
@@ -302,7 +304,7 @@ def remove_repeats(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("s_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rest = _same(docs_.where("s_z is not null").select("s_id", "s_th", "s_z", "s_wa", "s_wb"), got, "left")
-    return done.union(rest.mapInArrow(last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return done.union(rest.mapInArrow(common.worker("suffix", last), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def _cut_rows(rows: DataFrame, docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -323,5 +325,5 @@ def _cut_rows(rows: DataFrame, docs: DataFrame, extra: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), *[b.column(e) for e in extra]], ["s_cut", *extra])
 
     schema = ", ".join(["s_cut string", *[f"{e} {docs.schema[docs.columns[int(e[3:])]].dataType.simpleString()}" for e in extra]])
-    out = rows.select("s_z", "s_wa", "s_wb", "s_ga", "s_gb", *extra).mapInArrow(run, schema)
+    out = rows.select("s_z", "s_wa", "s_wb", "s_ga", "s_gb", *extra).mapInArrow(common.worker("suffix", run), schema)
     return out.select(*[F.col("s_cut").alias("text") if c == "text" else F.col(f"s_x{i}").alias(c) for i, c in enumerate(docs.columns)])

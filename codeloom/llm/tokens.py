@@ -25,6 +25,7 @@ from . import common
 #: Entries that a worker's cache holds before it starts anew: bounds memory, never results.
 CACHE = 150_000
 _state: dict = {}
+common.caches("tokens", _state.clear)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -298,5 +299,5 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
                 size = pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), size, pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(common.worker("tokens", count), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -12,7 +12,6 @@ import math
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,27 +119,27 @@ def learn(sample: DataFrame, max_terms: int = 4000, max_candidates: int = 50_000
     def counted(of: int, among: frozenset | None):
         """A function that counts, in how many documents of a class, the terms that are ``among`` some (none given: all)."""
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from collections import Counter
 
             from codeloom.llm import toxicity
 
             count, docs = Counter(), 0
-            for f in frames:
-                for text, y in zip(f["t_text"], f["t_y"]):
+            for b in batches:
+                for text, y in zip(*(b.column(c).to_pylist() for c in ("t_text", "t_y"))):
                     if int(y) == of:
                         found = toxicity.terms(toxicity.folded(text))
                         count.update(found if among is None else found & among)
                         docs += 1
                     if len(count) > 200_000:  # counts add up, so memory stays bounded
-                        yield pd.DataFrame({"t_term": [*count], "t_n": [*count.values()]})
+                        yield pa.RecordBatch.from_pydict({"t_term": pa.array([*count], pa.string()), "t_n": pa.array([*count.values()], pa.int64())})
                         count = Counter()
-            yield pd.DataFrame({"t_term": ["", *count], "t_n": [docs, *count.values()]})
+            yield pa.RecordBatch.from_pydict({"t_term": pa.array(["", *count], pa.string()), "t_n": pa.array([docs, *count.values()], pa.int64())})
 
         return run
 
     def table(of: int, among: frozenset | None, name: str) -> DataFrame:
-        return sample.mapInPandas(counted(of, among), "t_term string, t_n long").groupBy("t_term").agg(F.sum("t_n").alias(name))
+        return sample.mapInArrow(common.worker("toxicity", counted(of, among)), "t_term string, t_n long").groupBy("t_term").agg(F.sum("t_n").alias(name))
 
     # terms of toxic documents first; only the most frequent ``max_candidates`` are counted in clean ones
     found = table(1, None, "t_toxic").where((F.col("t_toxic") >= least) | (F.col("t_term") == "")).orderBy(F.col("t_toxic").desc(), "t_term").limit(max_candidates).collect()
@@ -160,16 +159,16 @@ def learn(sample: DataFrame, max_terms: int = 4000, max_candidates: int = 50_000
             continue
         lexicon[t] = round(weights[t], 6)
 
-    def phrases(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores of the sample, and the two-word phrases around matches, for exceptions and calibration."""
         from collections import Counter
 
         from codeloom.llm import toxicity
 
         machine = toxicity._machine(lexicon, [])
-        for f in frames:
-            rows = []
-            for text, y in zip(f["t_text"], f["t_y"]):
+        for b in batches:
+            rows: list[tuple] = []
+            for text, y in zip(*(b.column(c).to_pylist() for c in ("t_text", "t_y"))):
                 body = toxicity.folded(text)
                 near: Counter = Counter()
                 for end, (t, _) in machine.iter(body) if len(machine) else ():
@@ -182,9 +181,10 @@ def learn(sample: DataFrame, max_terms: int = 4000, max_candidates: int = 50_000
                         near[body[start : after + 1]] += 1
                 rows += [(p, int(y), None) for p in near]
                 rows.append((None, int(y), toxicity.raw_score(machine, body)))
-            yield pd.DataFrame(rows, columns=["t_phrase", "t_y", "t_raw"])
+            kinds = {"t_phrase": pa.string(), "t_y": pa.int32(), "t_raw": pa.float64()}
+            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
 
-    seen = sample.mapInPandas(phrases, "t_phrase string, t_y int, t_raw double")
+    seen = sample.mapInArrow(common.worker("toxicity", phrases), "t_phrase string, t_y int, t_raw double")
     clean = seen.where(F.col("t_phrase").isNotNull()).groupBy("t_phrase").agg(F.sum(F.col("t_y")).alias("t_toxic"), F.count("*").alias("t_all"))
     exceptions = [r[0] for r in clean.where((F.col("t_toxic") == 0) & (F.col("t_all") >= least)).orderBy(F.col("t_all").desc(), "t_phrase").limit(max_terms).collect()]
     # calibration: the cut between the classes' scores, on the bounded sample
@@ -230,8 +230,9 @@ def scorer(spark, model: dict, threshold: float = 0.3):
 
     @F.arrow_udf("double")
     def toxic_score(texts: pa.Array) -> pa.Array:
-        from codeloom.llm import toxicity
+        from codeloom.llm import common, toxicity
 
+        common.enter("toxicity")
         return pa.array(toxicity.scores(shared.value, texts.to_pylist(), threshold), pa.float64())
 
     return toxic_score
@@ -240,6 +241,14 @@ def scorer(spark, model: dict, threshold: float = 0.3):
 _machines: dict = {}
 
 
+def _forget() -> None:
+    _folds.clear()
+    _machines.clear()
+
+
+common.caches("toxicity", _forget)
+
+
 def scores(model: dict, texts, threshold: float) -> list[float]:
     if _machines.get("of") is not model:
         _machines.update(of=model, machine=_machine(model["lexicon"], model["exceptions"]))
