@@ -305,6 +305,15 @@ def test_lm_prefers_the_order_it_has_seen(spark, none):
     assert lm.score(none).count() == 0
 
 
+def test_lm_trains_on_documents_outside_any_sample(spark):
+    text = "the cat sat on a mat " * 8
+    docs = spark.createDataFrame([(i, text) for i in range(150)] + [(1000, "mat a on sat cat the " * 8)], "doc_id long, text string")
+    docs = docs.where("doc_id = 1000 or pmod(xxhash64(doc_id, text), 10000) >= 400")  # what a sample of 4 % left out
+    got = {x["doc_id"]: x["mean_logprob"] for x in lm.score(docs).collect()}
+    seen = next(v for k, v in got.items() if k != 1000)
+    assert seen > got[1000] + 0.2
+
+
 def test_lm_scores_sum_what_the_network_says():
     p = lm.initial(1, np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
     r = np.random.default_rng(0)
