@@ -115,12 +115,24 @@ def fold(entries: DataFrame, nodes: DataFrame, budget: int = BUDGET) -> DataFram
 
 
 def fit_to_budget(items: DataFrame, budget: int) -> DataFrame:
-    """Items (ord, cost) up to the first that does not fit."""
+    """Items (ord, cost) up to the first that does not fit. Items of equal ``ord`` count together.
+
+    A distributed running sum: ranges of ``ord`` are summed apart, and only the sums of the ranges, one for each shuffle partition,
+    are added up in one place.
+    """
     from pyspark.sql import Window
 
-    # the items of one answer: a bounded list
-    w = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("used", F.sum("cost").over(w)).where(F.col("used") <= budget)
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = items.groupBy("ord").agg(F.sum("cost").alias("cost_"))
+    bounds = sorted(set(per.approxQuantile("ord", [i / n for i in range(1, n)], 0.5 / n))) if n > 1 else []
+    # the range of an item: how many bounds lie below it
+    part = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("ord"))), F.lit(0)) if bounds else F.lit(0)
+    per = per.withColumn("part_", part)
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    start = per.groupBy("part_").agg(F.sum("cost_").alias("s_")).select("part_", F.sum("s_").over(before).alias("start_"))
+    run = F.sum("cost_").over(Window.partitionBy("part_").orderBy("ord"))
+    used = per.join(F.broadcast(start), "part_").select(F.col("ord").alias("ord_"), F.coalesce(F.col("start_") + run, "start_", run).alias("used")).where(F.col("used") <= budget)
+    return items.join(used, F.col("ord").eqNullSafe(F.col("ord_"))).drop("ord_")
 
 
 def context(nodes: DataFrame, edges: DataFrame, query: str, intent: str = "generic", hops: int = 1, budget: int = BUDGET, focus: str | None = None, ids: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import scalar as S
 from codeloom.operators import components, diff, search, traverse
-from codeloom.plans import briefs, context
+from codeloom.plans import briefs, context, registry
 from codeloom.sources import store
 
 
@@ -158,3 +158,20 @@ def test_store_round_trip(spark, tmp_path):
     assert got(store.delete_commit(commits, "g", "c2"), "commit_hash", "ord") == [("c1", 0)]
     assert st.delete("edges", "g", "c1") and not st.delete("edges", "g", "c9")
     assert spark.read.parquet(f"file://{tmp_path}/edges").count() == 2
+
+
+def test_fit_to_budget_is_one_running_sum_over_many_ranges(spark):
+    rows = [(i // 2 * 7 % 501, i % 9) for i in range(900)] + [(600, None)]
+    items = spark.createDataFrame(rows, "ord long, cost long").repartition(5)
+    want = sorted((o, c, u) for o, c in rows if (u := sum(x or 0 for k, x in rows if k <= o)) <= 2500)
+    out = context.fit_to_budget(items, 2500)
+    assert sorted(map(tuple, out.select("ord", "cost", "used").collect())) == want and 100 < len(want) < 800
+    assert context.fit_to_budget(items.limit(0), 5).count() == 0
+
+
+def test_registered_queries_read_the_whole_table(spark, tmp_path):
+    rows = [(i, f"one\ntwo{i}\nthree", "en", "late" if i >= 60 else "early", 10) for i in range(100, 130)] + [(i, "a\nb\nc", "en", "early", 10) for i in range(50)] + [(61, "x\ny\nz", "en", "late", 10)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    q = registry.queries()
+    assert q["fit_to_budget"](spark, str(tmp_path)).count() == len(rows)
+    assert {r["code"] for r in q["node_code"](spark, str(tmp_path)).where("id = 101").collect()} == {"y\nz"}
