@@ -8,6 +8,7 @@ no hop numbers its rows in a single task.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,12 +69,12 @@ def closure(edges: DataFrame, seeds: DataFrame, direction: str = "up", edge_type
     return seen.where("hop > 0")
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, most: int = 50) -> DataFrame:
-    """(step, id) of one least path, ties by edge order; empty if there is none. ``most`` bounds the rounds."""
+def shortest_path(edges: DataFrame, source: str, target: str, most: int | None = None) -> DataFrame:
+    """(step, id) of one least path, ties by edge order; empty if there is none. ``most`` bounds the rounds where it is given."""
     spark = edges.sparkSession
     front = seen = spark.createDataFrame([(source, [source], [])], "id string, ids array<string>, path array<bigint>")
     walk = oriented(edges, "down")
-    for _ in range(most):
+    for _ in count() if most is None else range(most):
         if source == target or not front.where(F.col("id") == target).isEmpty():
             break
         found = front.withColumnRenamed("id", "near").join(walk, "near")

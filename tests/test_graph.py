@@ -32,6 +32,11 @@ def test_chain(spark):
     assert [r["id"] for r in traverse.shortest_path(e, "c", "c").collect()] == ["c"]
 
 
+def test_shortest_path_has_no_longest_length(spark):
+    e = edges(spark, [(str(i), str(i + 1)) for i in range(52)]).coalesce(1)
+    assert traverse.shortest_path(e, "0", "52").count() == 53
+
+
 def test_ties_take_the_first_edge(spark):
     e = edges(spark, [("a", "c", "USES"), ("a", "b", "CALLS"), ("b", "d", "CALLS"), ("c", "d", "USES"), ("c", "d", "CALLS")])
     assert got(traverse.bfs(e, one(spark, "a"), 2), "id", "via", "parent") == [("b", "CALLS", "a"), ("c", "USES", "a"), ("d", "USES", "c")]
