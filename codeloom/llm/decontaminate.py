@@ -66,6 +66,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: fl
     ``miss`` bounds the chance that a pair at the threshold is not a candidate. Null or empty texts hold nothing and items
     without words are in no document. Documents with a null doc_id are reported with it; repeated documents or
     items give one row for each distinct pair of ids; empty tables give no rows; other columns are ignored.
+    An item of fewer than five words is one shingle, its whole sequence: only a text of exactly these words holds it, a longer one never.
     """
     import math
 
