@@ -4,8 +4,8 @@ All strings are read from their ends at once: round j puts in, for every string,
 right. The transform is kept as inverted lists: for each symbol, in order, the places where it stands in the transform. A new
 suffix t + s goes where the place of s falls in the list of t, so one round is a merge of the lists with one entry
 a string, and the common prefix with a neighbour is one more than the least common prefix between the
-places of their tails. Lists and prefixes are read from and written to sequential files, one pass each a round, once
-they outgrow ``memory`` bytes.
+places of their tails. A list or prefix array above ``memory`` bytes lies in a file between rounds and is read back whole;
+smaller ones, those of ordinary batches, stay in memory.
 """
 
 from __future__ import annotations
