@@ -1,39 +1,24 @@
-"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many short strings.
+"""Column-wise construction of the Burrows-Wheeler transform and common prefixes of many strings.
 
-All strings are read from their ends at once: round j puts in, for every string, the suffix that starts with its j-th symbol from the
-right. The transform is kept as inverted lists: for each symbol, in order, the places where it stands in the transform. A new
-suffix t + s goes where the place of s falls in the list of t, so one round is a merge of the lists with one entry
-a string, and the common prefix with a neighbour is one more than the least common prefix between the
-places of their tails. A list or prefix array above ``memory`` bytes lies in a file between rounds and is read back whole;
-smaller ones, those of ordinary batches, stay in memory.
+The strings are aligned at an anchor that they hold, and one symbol of every string is put in each round, from the right end of the
+longest to the left. A round reads one column of symbols, in the order of the suffixes so far: that is the transform's next column. Sorting
+it stably gives the order of the suffixes that now start with these symbols, and the common prefix of two neighbours is one more than
+the least common prefix between the places of their tails. Equal windows hold the anchor in the same place, so only
+suffixes of one round are ever compared and only their order is kept: a round costs a few passes over one entry a string.
+
+The columns lie in a sequential file, one after another, when they take more than ``memory`` bytes; a round reads the next one. What stays in
+memory is an order and a prefix length for each string, and a bit for each string and place.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
 
 BLOCK = 256
-
-
-class _File:
-    """An array that is kept in a sequential file between rounds when it is large."""
-
-    def __init__(self, folder: str, name: str, memory: int):
-        self.at, self.memory, self.held, self.kind = os.path.join(folder, name), memory, None, None
-
-    def put(self, a: np.ndarray) -> None:
-        self.kind = a.dtype
-        if a.nbytes > self.memory:
-            a.tofile(self.at)
-            self.held = None
-        else:
-            self.held = a
-
-    def get(self) -> np.ndarray:
-        return np.fromfile(self.at, self.kind) if self.held is None else self.held
+#: Strings whose symbols are laid out at a time.
+PART = 8192
 
 
 def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,75 +48,61 @@ def _least(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_suffixes(strings: list[np.ndarray], least: int, memory: int = 32_000_000) -> list[np.ndarray]:
-    """For each string, whether the suffix at each place shares ``least`` symbols or more with a suffix of any string."""
-    m, lengths = len(strings), np.array([len(s) for s in strings], dtype=np.int64)
-    out = [np.zeros(n, bool) for n in lengths]
-    if not m or not lengths.max():
+def _columns(parts: list[bytes], lengths: np.ndarray, width: int, memory: int, folder: str, name: str, back: bool = False) -> np.ndarray:
+    """width x strings: symbols 1 to 256, 0 past a string's end. ``back``: the first column holds the last symbols."""
+    shape = (width, len(parts))
+    out = np.zeros(shape, np.uint16) if 2 * width * len(parts) <= memory else np.memmap(f"{folder}/{name}", np.uint16, "w+", shape=shape)
+    for at in range(0, len(parts), PART):
+        n = lengths[at : at + PART]
+        inside = np.arange(width) < n[:, None]
+        rows = np.zeros(inside.shape, np.uint16)
+        rows[inside] = np.frombuffer(b"".join(p[::-1] for p in parts[at : at + PART]) if back else b"".join(parts[at : at + PART]), np.uint8)
+        rows[inside] += 1
+        out[:, at : at + PART] = rows.T
+    return out
+
+
+def repeated_windows(groups: np.ndarray, left: list[bytes], right: list[bytes], side: int, least: list[int], memory: int = 64_000_000) -> list[np.ndarray]:
+    """For each number of symbols in ``least``: (side + 1) x strings, whether a window is found in another string of the group.
+
+    The window at (d, i) starts d symbols left of string i's anchor and holds the anchor and ``least`` other symbols. Strings of one group have
+    the same anchor. Windows that a string is too short for are not found.
+    """
+    m, reach = len(groups), max(least)
+    out = [np.zeros((side + 1, m), bool) for _ in least]
+    if m < 2:
         return out
-    rounds = int(lengths.max())
-    columns = np.zeros((rounds, m), np.int32)
-    for i, s in enumerate(strings):
-        columns[: len(s), i] = s[::-1]
-    n_symbols = int(columns.max()) + 1
+    nl, nr = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    order = np.argsort(groups, kind="stable")
+    # a group's suffixes stay together in every round, so a place belongs to one group throughout
+    head = np.diff(np.asarray(groups)[order], prepend=-1) != 0
+    of = np.cumsum(head) - 1
+    of = of.astype(np.uint16) if of[-1] < 1 << 16 else of
+    common = np.zeros(m, np.uint16)
     with tempfile.TemporaryDirectory(prefix="codeloom-bwt-") as folder:
-        lists, common = _File(folder, "lists", memory), _File(folder, "common", memory)
-        # places: the m empty suffixes in order of their strings, then the others as sorted
-        lists.put(np.zeros(0, np.int32))
-        common.put(np.zeros(m, np.uint8 if rounds < 256 else np.uint16))
-        starts = np.zeros(n_symbols + 1, np.int64)  # of each symbol's list
-        place = np.arange(m)
-        for j in range(rounds):
-            live = np.flatnonzero(lengths > j)
-            t = columns[j, live]
-            o = np.lexsort((place[live], t))
-            live, t = live[o], t[o]
-            tails = place[live]
-            old, lcp = lists.get(), common.get()
-            # where each tail falls in its symbol's list
-            at = np.empty(len(live), np.int64)
-            cuts = np.flatnonzero(np.diff(t, prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(t))):
-                lo, hi = starts[t[a]], starts[t[a] + 1]
-                at[a:b] = lo + (np.searchsorted(old[lo:hi], tails[a:b]) if hi > lo else 0)
-            new = at + np.arange(len(live))
-            size = len(old) + len(live)
-            fresh = np.zeros(size, bool)
-            fresh[new] = True
-            merged = np.empty(size, np.int32)
-            merged[new], merged[~fresh] = tails, old
-            starts[1:] += np.cumsum(np.bincount(t, minlength=n_symbols))
-            # common prefixes of the new suffixes, and of what now follows them
-            prefixes = np.empty(m + size, lcp.dtype)
-            prefixes[:m] = 0
-            prefixes[m:][~fresh] = lcp[m:]
-            after = new + 1
-            inside = after < starts[t + 1]
-            check, sym = np.concatenate([new, after[inside]]), np.concatenate([t, t[inside]])
-            follows = check > starts[sym]
-            value = np.zeros(len(check), lcp.dtype)
-            k = check[follows]
-            value[follows] = _least(lcp, merged[k - 1] + 1, merged[k] + 1) + 1
-            prefixes[m + check] = value
-            ends = after[~inside]
-            prefixes[m + ends[ends < size]] = 0
-            # every place moves up by the new suffixes before it
-            moved = np.empty(m + len(old), np.int32)
-            moved[:m] = np.arange(m)
-            moved[m:] = m + np.flatnonzero(~fresh)
-            lists.put(moved[merged])
-            common.put(prefixes)
-            place = moved[place].astype(np.int64)
-            place[live] = m + new
-        lists_, lcp = lists.get(), common.get()
-    shared = lcp >= least
-    shared[:-1] |= shared[1:].copy()
-    # follow every string's suffixes from the longest to the empty one
-    at = place.copy()
-    for j in range(rounds, 0, -1):
-        live = np.flatnonzero(lengths >= j)
-        hit = live[shared[at[live]]]
-        for i in hit:
-            out[i][lengths[i] - j] = True
-        at[live] = lists_[at[live] - m]
+        after = _columns(right, nr, reach, memory, folder, "right")
+        before = _columns(left, nl, side, memory, folder, "left", back=True)
+        for j in range(reach + side + 1):
+            if j >= reach:
+                d = j - reach
+                for hit, n in zip(out, least):
+                    shared = common >= n
+                    shared[:-1] |= shared[1:].copy()
+                    hit[d, order] = shared
+                    hit[d] &= (nl >= d) & (d + nr >= n)
+                if d == side:
+                    break
+            symbols = np.asarray(after[reach - 1 - j] if j < reach else before[j - reach])[order]
+            o = np.argsort(symbols, kind="stable")  # counting sorts of 16-bit keys: by symbol, then by group
+            o = o[np.argsort(of[o], kind="stable")]
+            moved = symbols[o]
+            same = np.flatnonzero((moved[1:] == moved[:-1]) & ~head[1:]) + 1
+            lo, hi = o[same - 1], o[same]
+            value = np.zeros(m, np.uint16)
+            near = hi == lo + 1
+            value[same[near]] = common[hi[near]] + np.uint16(1)
+            if not near.all():
+                value[same[~near]] = _least(common, lo[~near] + 1, hi[~near] + 1) + np.uint16(1)
+            order, common = order[o], value
+        del after, before
     return out

@@ -118,30 +118,91 @@ def test_components(spark):
     assert all(got.get(x, x) == p[x] for x in p)
 
 
-def _cut(texts):
-    at = collections.Counter()
+def _cut(texts, window=400, passage=200):
     data = [(t or "").encode() for t in texts]
-    for d in data:
-        at.update(d[k : k + 400] for k in range(len(d) - 399))
+
+    def gone(w):
+        at = collections.Counter(d[k : k + w] for d in data for k in range(len(d) - w + 1))
+        out = []
+        for d in data:
+            g = bytearray(len(d))
+            for k in range(len(d) - w + 1):
+                if at[d[k : k + w]] > 1:
+                    g[k : k + w] = b"\1" * w
+            out.append(bytes(g))
+        return out
+
     out = []
-    for d in data:
-        gone = bytearray(len(d))
-        for k in range(len(d) - 399):
-            if at[d[k : k + 400]] > 1:
-                gone[k : k + 400] = b"\1" * 400
-        kept = bytes(x for x, g in zip(d, gone) if not g)
-        out.append((len(d), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    for d, g, p in zip(data, gone(window), gone(passage)):
+        out.append((len(d), sum(g), len(re.findall(rb"\x01+", g)), hashlib.sha256(bytes(x for x, y in zip(d, g) if not y)).hexdigest(), sum(p)))
     return out
 
 
 def test_repeats(docs, none, spark, monkeypatch):
     want = collections.Counter((r[0], *w) for r, w in zip(ROWS, _cut([r[1] for r in ROWS])))
+    assert any(w[2] for w in want) and any(w[2] < w[5] for w in want)
     assert collections.Counter(map(tuple, suffix.remove_repeats(docs).collect())) == want
     monkeypatch.setattr(suffix, "HOT", 1)  # the distributed count of windows gives the same
     assert collections.Counter(map(tuple, suffix.remove_repeats(docs).collect())) == want
+    monkeypatch.setattr(suffix, "HOT", 1000)
+    monkeypatch.setattr(suffix, "BATCH", 2)  # many batches, anchors with a batch of their own
+    assert collections.Counter(map(tuple, suffix.remove_repeats(docs).collect())) == want
     assert suffix.remove_repeats(none).count() == 0
-    rows = suffix.remove_repeats(docs, keep_rows=True)
+    rows = suffix.without_repeats(docs)
     assert rows.columns == docs.columns and rows.count() == len(ROWS)
+    assert [r[0] for r in suffix.without_repeats(none).collect()] == []
+
+
+def _passages(n=40):
+    """Documents that share passages of 51 to 80 words in pairs, and documents that share nothing."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(r.choice((1, 2, 3, 4, 5, 6, 8, 11))))
+    line = lambda k: " ".join(word() for _ in range(k))
+    rows, planted = [], {}
+    for k in range(n):
+        p = line(51 + k % 30)
+        for i in (3 * k, 3 * k + 1):
+            before, after = line(r.randint(0, 60)), line(r.randint(0, 60))
+            rows.append((i, f"{before} {p} {after}"))
+            planted[i] = (before, after)
+        rows.append((3 * k + 2, line(r.randint(40, 120)) + " This work is licensed under the terms of a general public license."))
+    return rows, planted
+
+
+def test_passages_of_over_fifty_words(spark):
+    rows, planted = _passages()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in suffix.without_repeats(docs, window=200).collect()}
+    for i, text in rows:
+        if i in planted:
+            assert [x.strip() for x in planted[i]] == [planted[i][0], planted[i][1]] and len(got[i]) <= sum(map(len, planted[i])) + 2
+        else:
+            assert got[i] == text
+    found = {r["doc_id"]: r["n_passage_bytes"] for r in suffix.remove_repeats(docs).collect()}
+    assert {i for i, n in found.items() if n} == set(planted)
+
+
+def test_repeats_of_many_copies(spark):
+    """Ten thousand rows of one long text under one id, other ids and none, and one near copy."""
+    r = random.Random(9)
+    text = " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(700))
+    near = "changed" + text[7:]
+    rows = [(i if i % 4 == 1 else 5 if i % 2 else None, text) for i in range(10_000)] + [(1 << 40, near), (2, "short"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    n, none = len(text), hashlib.sha256(b"").hexdigest()
+    out = suffix.remove_repeats(docs).groupBy("n_bytes", "n_removed", "n_spans", "kept_sha256").count().collect()
+    got = {tuple(x)[:4]: x[4] for x in out}
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {(n, n, 1, none): 10_000, (n, n - 7, 1, digest(b"changed")): 1, (5, 0, 0, digest(b"short")): 1, (0, 0, 0, none): 1}
+
+
+def test_repeats_of_a_very_long_text(spark, monkeypatch):
+    r = random.Random(10)
+    long = "".join(r.choice("abcdefghijklmnop ") for _ in range(300_000))
+    long = long[:200_000] + long[50_000:51_000] + long[200_000:]
+    docs = spark.createDataFrame([(1, long), (2, "x" + long[100_000:100_450])], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in suffix.remove_repeats(docs).collect()}
+    assert (got[1]["n_removed"], got[1]["n_spans"], got[2]["n_removed"]) == (2000 + 450, 3, 450)
 
 
 def test_anchor_chunks(monkeypatch):
@@ -151,18 +212,22 @@ def test_anchor_chunks(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 700)
     for a, b in zip(whole, suffix.anchors(data)):
         assert np.array_equal(a, b)
-    gaps = np.diff(np.concatenate([[-1], whole[0], [len(data) - 299]]))
+    gaps = np.diff(np.concatenate([[-1], whole[0], [len(data) - 99]]))
     assert gaps.max() <= 101
 
 
 def test_bwt_against_counts():
     r = np.random.default_rng(1)
-    for _ in range(60):
-        s = [r.integers(0, 3, r.integers(0, 14)).astype(np.int32) for _ in range(r.integers(1, 12))]
-        n = int(r.integers(1, 5))
-        c = collections.Counter(tuple(x[p : p + n]) for x in s for p in range(len(x) - n + 1))
-        for x, g in zip(s, bwt.repeated_suffixes(s, n, memory=int(r.integers(0, 2)) * 1000)):
-            assert list(g) == [p + n <= len(x) and c[tuple(x[p : p + n])] > 1 for p in range(len(x))]
+    text = lambda n: bytes(r.integers(0, 2, r.integers(0, n + 1)).astype(np.uint8))
+    for _ in range(150):
+        m, side = int(r.integers(0, 14)), int(r.integers(1, 6))
+        least = [int(x) for x in r.integers(side, 9, 2)]
+        g, left, right = r.integers(0, 3, m), [text(side) for _ in range(m)], [text(max(least)) for _ in range(m)]
+        got = bwt.repeated_windows(g, left, right, side, least, memory=int(r.integers(0, 2)) * 1000)
+        for n, hit in zip(least, got):
+            w = {(d, i): (g[i], d, left[i][len(left[i]) - d :], right[i][: n - d]) for i in range(m) for d in range(side + 1) if d <= len(left[i]) and n - d <= len(right[i])}
+            c = collections.Counter(w.values())
+            assert all(hit[d, i] == ((d, i) in w and c[w[d, i]] > 1) for i in range(m) for d in range(side + 1))
 
 
 def _ids(texts):
