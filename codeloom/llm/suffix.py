@@ -130,16 +130,41 @@ def cut(data: bytes, runs: list[tuple[int, int]], whole: bool = False) -> bytes:
 
 
 def _texts(docs: DataFrame, passage: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows: s_id, s_k, s_k2, s_n, s_sha of each row; texts: s_t, s_k, s_k2, s_n, s_twice, s_sha, s_text of each different text that holds a passage).
+    """(rows: s_id, s_k, s_k2, s_n, s_sha of each row; texts: s_t, s_k, s_k2, s_n, s_twice, s_sha, s_z of each different text that holds a passage).
 
-    Texts are told apart by 128 bits of hash and their length.
+    Texts are told apart by 128 bits of hash and their length. They move packed (``s_z``) from here on.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            data, n = b.column("s_data").to_pylist(), b.column("s_n").to_pylist()
+            sha = pa.array([hashlib.sha256(d).hexdigest() for d in data], pa.string())
+            z = pa.array([pack.compress(d) if k >= passage else None for d, k in zip(data, n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("s_id", "s_k", "s_k2", "s_n")], sha, z], ["s_id", "s_k", "s_k2", "s_n", "s_sha", "s_z"])
+
     t = docs.select(F.col("doc_id").cast("long").alias("s_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("s_text"))
-    t = t.select("s_id", *_key("s_text"), "s_text")
-    rows = scratch.save(t.select("s_id", "s_k", "s_k2", "s_n", F.when(F.col("s_n") < passage, F.sha2("s_text", 256)).alias("s_sha")), "rows")
-    once = t.where(F.col("s_n") >= passage).groupBy("s_k", "s_k2", "s_n").agg(F.first("s_text").alias("s_text"), F.count("*").alias("s_c"))
-    texts = once.select(F.monotonically_increasing_id().alias("s_t"), "s_k", "s_k2", "s_n", (F.col("s_c") > 1).alias("s_twice"), F.sha2("s_text", 256).alias("s_sha"), "s_text")
-    return rows, scratch.save(texts, "texts")
+    t = t.select("s_id", *_key("s_text"), F.col("s_text").cast("binary").alias("s_data"))
+    packed = scratch.save(t.mapInArrow(common.worker("suffix", run), "s_id long, s_k long, s_k2 long, s_n long, s_sha string, s_z binary"), "packed")
+    once = packed.where(F.col("s_n") >= passage).groupBy("s_k", "s_k2", "s_n").agg(F.first("s_z").alias("s_z"), F.first("s_sha").alias("s_sha"), F.count("*").alias("s_c"))
+    texts = once.select(F.monotonically_increasing_id().alias("s_t"), "s_k", "s_k2", "s_n", (F.col("s_c") > 1).alias("s_twice"), "s_sha", "s_z")
+    return packed.drop("s_z"), scratch.save(texts, "texts")
+
+
+def _slices(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of a batch of about ``most`` bytes of text, one row at least, with the unpacked texts."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor()
+    at = size = 0
+    for i, n in enumerate([*b.column("s_n").to_pylist(), most + 1]):
+        if i > at and size + n > most:
+            part = b.slice(at, i - at)
+            yield part, [unpack.decompress(z) for z in part.column("s_z").to_pylist()]
+            at, size = i, 0
+        size += n
 
 
 def _key(text: str) -> list[Column]:
@@ -152,11 +177,10 @@ def _places(texts: DataFrame, counts: bool, window: int, passage: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from codeloom.llm import suffix as m
-        from codeloom.llm import tokens
 
         for b in batches:
-            for part in tokens.slices(b, "s_text"):
-                got = [m.anchors(t.encode("utf-8", "surrogatepass"), window, passage) for t in part.column("s_text").to_pylist()]
+            for part, data in m._slices(b):
+                got = [m.anchors(d, window, passage) for d in data]
                 sizes = np.array([len(g[0]) for g in got])
                 h = np.concatenate([g[1] for g in got])
                 if counts:
@@ -167,7 +191,7 @@ def _places(texts: DataFrame, counts: bool, window: int, passage: int) -> DataFr
                     c, q = np.concatenate([g[2] for g in got]), np.concatenate([g[0] for g in got])
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), part.column("s_t").take(row), part.column("s_twice").take(row), pa.array(q.astype(np.int32))], ["s_h", "s_c", "s_t", "s_twice", "s_q"])
 
-    return texts.select("s_t", "s_twice", "s_text").mapInArrow(common.worker("suffix", run), "s_h long, s_c long" if counts else "s_h long, s_c long, s_t long, s_twice boolean, s_q int")
+    return texts.select("s_t", "s_twice", "s_n", "s_z").mapInArrow(common.worker("suffix", run), "s_h long, s_c long" if counts else "s_h long, s_c long, s_t long, s_twice boolean, s_q int")
 
 
 _CONTEXT = "s_t long, s_q int, s_h long, s_k long, s_left binary, s_right binary, s_gram binary"
@@ -241,37 +265,33 @@ def _marked(texts: DataFrame, window: int, passage: int, scratch: common.Scratch
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text that occurs once, and a row for each context that has to be compared."""
-        import zstandard
-
         from codeloom.llm import suffix as m
-        from codeloom.llm import tokens
 
-        pack, gram = zstandard.ZstdCompressor(level=3), passage - m.SIDE
+        gram = passage - m.SIDE
         for b in batches:
-            for part in tokens.slices(b, "s_text"):
-                packed, known = [], []
+            for part, texts_ in m._slices(b):
+                known = []
                 ctx: dict[str, list] = {n: [] for n in ("row", "s_q", "s_h", "s_k", "s_left", "s_right", "s_gram")}
-                for i, (t, mark, again) in enumerate(zip(*(part.column(c).to_pylist() for c in ("s_text", "s_m", "s_twice")))):
-                    data, g = t.encode("utf-8", "surrogatepass"), []
-                    n = len(data)
+                for i, (data, mark, again) in enumerate(zip(texts_, part.column("s_m").to_pylist(), part.column("s_twice").to_pylist())):
+                    n, g = len(data), []
                     for x in mark:
                         q = x["s_q"]
                         if x["s_h"] is None:
-                            g += [(max(0, q - m.SIDE), min(q, n - w), k) for k, w in enumerate((window, passage)) if n >= w and q - m.SIDE <= n - w]
+                            g += [{"a": max(0, q - m.SIDE), "b": min(q, n - w), "kind": k} for k, w in enumerate((window, passage)) if n >= w and q - m.SIDE <= n - w]
                         else:
                             key = hashlib.blake2b(data[q : q + gram], digest_size=16).digest()
                             for c, v in zip(ctx.values(), (i, q, x["s_h"], x["s_k"], data[max(0, q - m.SIDE) : q], data[q + gram : q + window], key)):
                                 c.append(v)
-                    packed.append(None if again else pack.compress(data))
                     known.append(None if again else g)
                 row = pa.array(ctx.pop("row"), pa.int64())
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
                 names = ["s_t", "s_z", "s_g", *ctx]
-                yield pa.RecordBatch.from_arrays([part.column("s_t"), pa.array(packed, pa.binary()), pa.array([x and [dict(zip("ab", y), kind=y[2]) for y in x] if x is not None else None for x in known], kind), *[pa.nulls(part.num_rows, k) for k in kinds]], names)
+                packed = [None if g is None else z for z, g in zip(part.column("s_z").to_pylist(), known)]
+                yield pa.RecordBatch.from_arrays([part.column("s_t"), pa.array(packed, pa.binary()), pa.array(known, kind), *[pa.nulls(part.num_rows, k) for k in kinds]], names)
                 if len(row):
                     yield pa.RecordBatch.from_arrays([part.column("s_t").take(row), pa.nulls(len(row), pa.binary()), pa.nulls(len(row), kind), *[pa.array(v, k) for v, k in zip(ctx.values(), kinds)]], names)
 
-    joined = texts.select("s_t", "s_twice", "s_text").join(marks, "s_t")
+    joined = texts.select("s_t", "s_twice", "s_n", "s_z").join(marks, "s_t")
     table = scratch.save(joined.mapInArrow(common.worker("suffix", first), f"s_t long, s_z binary, {ranges}, {_CONTEXT.split(', ', 1)[1]}"), "first")
     scratch.drop(occ, ctx, twice, several)
     got = _contexts_repeated(table.where("s_q is not null").drop("s_z", "s_g"), window, passage, scratch)
@@ -317,7 +337,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE
     found = _marked(texts, window, passage, scratch).mapInArrow(common.worker("suffix", last), "s_t long, s_removed long, s_spans long, s_kept string, s_short long")
     found = scratch.save(found, "found")
     all_ = F.col("s_twice") & (F.col("s_n") >= window)
-    each = texts.drop("s_text").join(found, "s_t", "left").select(
+    each = texts.drop("s_z").join(found, "s_t", "left").select(
         "s_k", "s_k2", "s_n", F.when(all_, F.col("s_n")).otherwise(F.coalesce("s_removed", F.lit(0))).alias("s_removed"), F.when(all_, 1).otherwise(F.coalesce("s_spans", F.lit(0))).alias("s_spans"),
         F.when(all_, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("s_kept", "s_sha")).alias("s_kept"), F.when(F.col("s_twice"), F.col("s_n")).otherwise(F.coalesce("s_short", F.lit(0))).alias("s_short"),
     )
@@ -346,7 +366,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = _marked(texts, window, window, scratch).mapInArrow(common.worker("suffix", last), "s_t long, s_cut string").where("s_cut is not null")
     found = scratch.save(found, "found")
-    changed = texts.drop("s_text").join(found, "s_t", "left").where("s_twice or s_cut is not null").select("s_k", "s_k2", "s_n", F.coalesce("s_cut", F.lit("")).alias("s_cut"))
+    changed = texts.drop("s_z").join(found, "s_t", "left").where("s_twice or s_cut is not null").select("s_k", "s_k2", "s_n", F.coalesce("s_cut", F.lit("")).alias("s_cut"))
     changed = scratch.save(changed, "changed")
     named = docs.select(*[F.col(f"`{c}`").alias(f"s_x{i}") for i, c in enumerate(docs.columns)])
     text = f"s_x{docs.columns.index('text')}"
