@@ -312,8 +312,29 @@ def test_quality(docs, none, spark):
     assert quality.quality(none).count() == 0
     text = "a#|\n\nb\n b\nb\n" + "w w w w w w w w w " * 3
     assert tuple(quality.quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).first())[1:7] == _base(text)
-    prior, odds = quality.fit([((-1, 0), 10), ((0, 1), 90), ((0, 0), 20)])
-    assert prior > 0 and odds[0][0] < 0 and quality.fit([])[1] == []
+    assert quality.fit([])[1] == [[]] and abs(sum(quality.fit([((-1, 0), 10), ((0, 1), 90), ((0, 0), 20)])[0]) - 1) < 1e-9
+
+
+def _prose(r, n, comma=True):
+    words = [r.choice("bcdfgklmnprst") + r.choice("aeiou") + "".join(r.choice("aeioulnrst") for _ in range(r.randint(1, 5))) for _ in range(n)]
+    out = []
+    for k, w in enumerate(words):
+        out.append(w.capitalize() if k % 9 == 0 else w + "." if k % 9 == 8 else w + "," if comma and k % 9 == 4 else w)
+    return " ".join(out)
+
+
+def test_a_lone_weak_fault_is_outvoted_and_agreeing_faults_are_not(spark):
+    r = random.Random(12)
+    good = [(i, _prose(r, r.randint(60, 200))) for i in range(400)]
+    bare = [(1000 + i, _prose(r, r.randint(60, 200), comma=False)) for i in range(12)]  # one rule votes low
+    junk = [(2000 + i, " ".join(w + r.choice("#$%&") * 3 for w in _prose(r, 120).split())) for i in range(30)]  # several rules do, of one kind
+    loud = [(3000 + i, " ".join(w.upper() + "!!" for w in _prose(r, 120).split())) for i in range(30)]
+    docs = spark.createDataFrame(good + bare + junk + loud, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in quality.quality(docs).collect()}
+    assert all(got[i]["kept"] and got[i]["n_low_votes"] == 1 for i, _ in bare) and all(got[i]["n_low_votes"] > 1 for i, _ in junk + loud)
+    assert sum(got[i]["kept"] for i, _ in good) >= 396 and not any(got[i]["kept"] for i, _ in junk + loud)
+    differ = [x for x in got.values() if not x["base_failed"] and x["kept"] != (x["n_low_votes"] == 0)]
+    assert len(differ) >= len(bare)  # verdicts that all-must-pass filtering would not give
 
 
 def test_sharding(docs, none):
