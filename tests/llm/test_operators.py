@@ -381,35 +381,103 @@ def test_toxicity(spark, none):
     assert toxicity.folded("1D10T, 2024 Caf\u00e9!") == " idiot 2024 cafe "
 
 
+CAT = "the cat sat on a mat "
+
+
 def test_lm_prefers_the_order_it_has_seen(spark, none):
     r = random.Random(6)
-    text = lambda: " ".join("the cat sat on a mat".split() * 8)
-    docs = spark.createDataFrame([(i, text()) for i in range(150)] + [(1000, "mat a on sat cat the " * 8), (1001, None), (None, "odd"), (1002, " ".join(r.sample(text().split(), 48)))], "doc_id long, text string")
-    got = {x["doc_id"]: x for x in lm.score(docs, share=1.0).collect()}
-    assert got[0]["mean_logprob"] > got[1000]["mean_logprob"] and got[0]["mean_logprob"] > got[1002]["mean_logprob"]
-    assert (got[1001]["n_tokens"], got[1001]["sum_logprob"], got[1001]["mean_logprob"]) == (0, 0.0, None) and got[None]["n_tokens"] == 1
+    docs = [(i, CAT * 8, "clash") for i in range(150)] + [(1000, "mat a on sat cat the " * 8, None), (1001, None, "x"), (None, "odd", ""), (1002, " ".join(r.sample((CAT * 8).split(), 48)), ""), (1003, "", ""), (5, CAT * 8, ""), (1004, CAT * 20_000, "")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, n_tokens string").repartition(4)
+    rows = lm.score(docs).collect()
+    got = {x["doc_id"]: x for x in rows}
+    assert len(rows) == 157 and len({x["sum_logprob"] for x in rows if x["doc_id"] == 5}) == 1
+    assert got[0]["mean_logprob"] > got[1000]["mean_logprob"] + 0.2 and got[0]["mean_logprob"] > got[1002]["mean_logprob"]
+    assert all((got[i]["n_tokens"], got[i]["sum_logprob"], got[i]["mean_logprob"]) == (0, 0.0, None) for i in (1001, 1003)) and got[None]["n_tokens"] == 1
+    assert got[1004]["n_tokens"] == 120_000 and abs(got[1004]["mean_logprob"] - got[0]["mean_logprob"]) < 0.3
     assert lm.score(none).count() == 0
 
 
-def test_lm_trains_on_documents_outside_any_sample(spark):
-    text = "the cat sat on a mat " * 8
-    docs = spark.createDataFrame([(i, text) for i in range(150)] + [(1000, "mat a on sat cat the " * 8)], "doc_id long, text string")
-    docs = docs.where("doc_id = 1000 or pmod(xxhash64(doc_id, text), 10000) >= 400")  # what a sample of 4 % left out
-    got = {x["doc_id"]: x["mean_logprob"] for x in lm.score(docs).collect()}
-    seen = next(v for k, v in got.items() if k != 1000)
-    assert seen > got[1000] + 0.2
+def test_lm_beats_unigrams_on_documents_it_has_not_seen(spark):
+    r = random.Random(7)
+    words = [f"{chr(97 + i)}{chr(97 + j)}" for i in range(12) for j in range(12)]
+    after = {w: r.sample(words, 3) for w in words}
+
+    def text():
+        out = [r.choice(words)]
+        while len(out) < 120:
+            out.append(r.choice(after[out[-1]]))
+        return " ".join(out)
 
+    docs = spark.createDataFrame([(i, text()) for i in range(600)], "doc_id long, text string").repartition(2)
+    coded, model = lm.fitted(docs, Scratch(spark, "test"), passes=6)
+    start = {x["doc_id"]: np.frombuffer(x["l_s"], np.int16) for x in coded.collect()}
+    count = np.ones(lm.SYMBOLS)
+    for s in start.values():
+        np.add.at(count, s, 1)
+    share = np.log(count / count.sum())
+    of = dict(zip((w for d in docs.collect() for w in d["text"].split()), (x for d in docs.collect() for x in start[d["doc_id"]])))
+    held = [np.array([of[w] for w in text().split()], np.int16) for _ in range(50)]
+    n = sum(map(len, held))
+    assert lm.log_probabilities(model, held).sum() / n > sum(share[h].sum() for h in held) / n + 0.2
 
-def test_lm_scores_sum_what_the_network_says():
+
+def test_lm_probabilities_of_all_words_add_up_to_one():
+    r = np.random.default_rng(0)
     p = lm.initial(1, np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
+    p = lm.train(p, [r.integers(0, lm.SYMBOLS, 300).astype(np.int16)])
+    x = r.integers(0, lm.SYMBOLS, 9).astype(np.int16)
+    alone = []
+    for s in range(lm.SYMBOLS):  # the middle word varies; the others keep their own factors, each with its window
+        alone.append(np.concatenate([x[:4], [s], x[5:]]).astype(np.int16))
+    total = 0.0
+    for d in alone:
+        q = np.concatenate([np.full(4, lm.PAD), d, np.full(4, lm.PAD)])
+        h = np.tanh(sum(p["E"][q[4 + 4 + o - 4]] @ p["W"][o] for o in range(lm.SPAN) if o != lm.SIDE) + p["b"])
+        z, k = h @ p["C"] + p["c"], d[4] // lm.MEMBERS
+        y = h @ p["V"][k] + p["v"][k]
+        total += np.exp(z[k] - np.log(np.exp(z).sum()) + y[d[4] % lm.MEMBERS] - np.log(np.exp(y).sum()))
+    assert abs(total - 1) < 1e-4
+
+
+def _loss(p, docs):
+    return -lm.log_probabilities(p, docs).sum() / sum(map(len, docs))
+
+
+def test_lm_scores_and_gradients_are_those_of_the_network():
     r = np.random.default_rng(0)
-    docs = [r.integers(0, lm.SYMBOLS, n).astype(np.int16) for n in (5, 0, 30)]
-    got = lm.log_probabilities(p, docs, np.zeros(lm.SYMBOLS + 1), block=7)
+    p = lm.initial(1, np.full(lm.SYMBOLS, 1 / lm.SYMBOLS))
+    docs = [r.integers(0, lm.SYMBOLS, n).astype(np.int16) for n in (5, 0, 30, 90)]
+    got = lm.log_probabilities(p, docs, block=7)
     for d, g in zip(docs, got):
         x = np.concatenate([np.full(4, lm.PAD), d, np.full(4, lm.PAD)])
         total = 0.0
         for i in range(len(d)):
-            h = np.tanh(sum(p["E"][x[i + 4 + o]] @ p["W"][k] for k, o in enumerate(lm._OFFSETS)) + p["b"])
-            z = h @ p["V"] + p["c"]
-            total += z[d[i]] - np.log(np.exp(z).sum())
+            h = np.tanh(sum(p["E"][x[i + o]] @ p["W"][o] for o in range(lm.SPAN)) + p["b"])
+            z, k = h @ p["C"] + p["c"], d[i] // lm.MEMBERS
+            y = h @ p["V"][k] + p["v"][k]
+            total += z[k] - np.log(np.exp(z).sum()) + y[d[i] % lm.MEMBERS] - np.log(np.exp(y).sum())
         assert abs(total - g) < 1e-2
+    # one batch: an Adagrad step gives the gradient back, which differences of the loss confirm
+    before, after = lm.flat(p).astype(float), lm.flat(lm.train(p, docs, rate=1.0)).astype(float)
+    step = np.clip(before - after, -1 + 1e-9, 1 - 1e-9)
+    gradient = step * np.sqrt(1e-3) / np.sqrt(1 - step * step)
+    largest = np.argsort(-np.abs(gradient))
+    for i in [*largest[:20], *largest[200:2000:300]]:
+        up, down = before.copy(), before.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        slope = (_loss(lm.shaped(up), docs) - _loss(lm.shaped(down), docs)) / 2e-2
+        assert abs(slope - gradient[i]) < 0.03 * abs(gradient[largest[0]]) + 0.02 * abs(slope)
+
+
+def test_lm_words_of_a_bucket_share_it_whole(spark):
+    times = lambda i: 3 if i % 3 == 0 else 1
+    rows = [(0, "common " * 50)] + [(i, f"x{i}end " * times(i)) for i in range(1, 6000)]
+    coded, _ = lm.fitted(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "test"), vocabulary=2.0, rounds=0)
+    by, seen = collections.defaultdict(float), set()
+    for x in coded.where("doc_id > 0").collect():
+        s = int(np.frombuffer(x["l_s"], np.int16)[0])
+        if s >= lm.FREQUENT:
+            by[s] += np.exp(x["l_share"] / times(x["doc_id"]))
+            seen.add(round(x["l_share"] / times(x["doc_id"]), 6))
+    assert by and all(abs(v - 1) < 1e-6 for v in by.values()) and len(seen) >= 2
