@@ -19,6 +19,7 @@ from ..sources.fixtures import SQL, Graphs, with_views
 from ..streaming import jobs as J
 from . import briefs as B
 from . import context as X
+from . import intake
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -346,4 +347,6 @@ add("event_tumbling", lambda g: J.tumbling(g.table("events")), "SELECT date_trun
 add("event_sessions", lambda g: J.sessions(g.table("events")), "WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS id FROM s) SELECT user_id, min(ts) AS start, count(*) AS n FROM k GROUP BY user_id, id")
 add("to_summarize", lambda g: J.to_summarize(_snaps(g)[1], _snaps(g)[0]).select("id"), _AB + " SELECT b.id FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.id = b.id AND a.code_hash = b.code_hash)", *_V)
 add("inherit_summaries", lambda g: J.inherit(_snaps(g)[1].withColumn("technical_summary", F.lit(None).cast("string")), _snaps(g)[0].withColumn("technical_summary", F.col("file_path"))).select("id", "technical_summary"), _AB + " SELECT b.id, a.file_path AS technical_summary FROM b LEFT JOIN a ON a.id = b.id AND a.code_hash = b.code_hash", *_V)
+for _e in intake.entries():
+    add(*_e)
 assert set(SQL) >= {v for v in ("n1", "e1", "snap", "snape", "hand", "jobs", "commits")}

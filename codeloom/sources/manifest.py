@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PYTHON_FILES = ("pyproject.toml", "requirements.txt", "setup.py", "setup.cfg", "Pipfile")
-DEV_FILES = ("requirements-dev.txt", "dev-requirements.txt", "requirements_dev.txt")
+DEV_FILES = ("requirements-dev.txt", "requirements-dev.in", "dev-requirements.txt")
 JAVA_FILES = ("pom.xml", "build.gradle", "build.gradle.kts")
+#: Manifests of a language that are read in place of one another: the first that a repository has.
+PRIMARY = {"python": ("pyproject.toml", "requirements.txt", "setup.py"), "java": JAVA_FILES, "javascript": ("package.json",), "typescript": ("package.json",), "go": ("go.mod",), "rust": ("Cargo.toml",)}
+#: Files that count as manifests in a report.
+CANDIDATES = ("package.json", "tsconfig.json", *PYTHON_FILES, "go.mod", "Cargo.toml", *JAVA_FILES)
 #: Categories of JavaScript packages that are tools, by name pattern; all others are runtime.
 DEV_TOOLS = r"^(?:@types/|eslint|prettier|jest|vitest|mocha|webpack|rollup|vite$|typescript$|babel|@babel/|husky|lint-staged|ts-node|nodemon)"
 
@@ -107,28 +111,51 @@ def pom(files: DataFrame) -> DataFrame:
 
 
 def gradle(files: DataFrame) -> DataFrame:
-    """Five configurations; tests are not told apart."""
-    found = F.regexp_extract_all("text", F.lit(r"(?:implementation|api|compileOnly|runtimeOnly|testImplementation)[\s(]+[\"']([^\"']+)[\"']"), 1)
+    """Five configurations; tests are not told apart, and what is no group:artifact is left out."""
+    found = F.regexp_extract_all("text", F.lit(r"(?:implementation|api|compileOnly|runtimeOnly|testImplementation)[\s(]*[\"']([^\"']+)[\"']"), 1)
     e = files.where(F.col("file").isin("build.gradle", "build.gradle.kts")).select("repo", "file", F.posexplode(found).alias("n", "d"))
-    p = F.split("d", ":")
+    p = F.split("d", ":", 3)
+    e = e.where((F.size(p) > 1) & (F.get(p, 0) != "") & (F.get(p, 1) != ""))
     return _out(e, F.concat_ws(":", F.get(p, 0), F.get(p, 1)), F.get(p, 2), F.lit("runtime"))
 
 
 _READERS = {"typescript": (package_json,), "javascript": (package_json,), "python": (pyproject, requirements), "go": (go_mod,), "rust": (cargo,), "java": (pom, gradle)}
 
 
+def primary(files: DataFrame) -> DataFrame:
+    """(repo, language, manifest): the manifest that is read for the repository's language; null if there is none."""
+    has = files.groupBy("repo").agg(F.collect_set("file").alias("f_"))
+    first = F.lit(None).cast("string")
+    for lang, names in PRIMARY.items():
+        for n in reversed(names):
+            first = F.when((F.col("language") == lang) & F.array_contains("f_", n), n).otherwise(first)
+    return language(files).join(has, "repo").select("repo", "language", first.alias("manifest"))
+
+
 def scan(files: DataFrame) -> DataFrame:
-    """(repo, language, manifest, name, version, scope); the first entry of a name within a scope wins."""
-    lang = language(files)
-    out = None
+    """(repo, language, manifest, name, version, scope): entries of the primary manifest, then of extra development requirements.
+
+    The first entry of a name within a scope wins.
+    """
+    lang, out = primary(files).withColumnRenamed("manifest", "p_"), None
     for names, readers in ((("typescript", "javascript"), (package_json,)), *[((k,), v) for k, v in _READERS.items() if k not in ("typescript", "javascript")]):
-        for order, read in enumerate(readers):
-            part = read(files).join(lang.where(F.col("language").isin(*names)), "repo").withColumn("o", F.lit(order))
+        for read in readers:
+            part = read(files).join(lang.where(F.col("language").isin(*names)), "repo")
             out = part if out is None else out.unionByName(part)
-    first = Window.partitionBy("repo", "scope", "name").orderBy("o", "manifest", "n")
+    extra = F.array_position(F.array(*[F.lit(f) for f in DEV_FILES]), F.col("manifest"))
+    out = out.withColumn("o", extra).where((F.col("manifest") == F.col("p_")) | (F.col("o") > 0))
+    first = Window.partitionBy("repo", "scope", "name").orderBy("o", "n")
     return out.withColumn("r", F.row_number().over(first)).where("r = 1").select("repo", "language", "manifest", "name", "version", "scope")
 
 
+def report(files: DataFrame) -> DataFrame:
+    """(repo, language, manifest, n_manifests, n_dependencies, n_dev) of every repository, with or without entries."""
+    held = files.groupBy("repo").agg(F.count_distinct(F.when(F.col("file").isin(*CANDIDATES), F.col("file"))).alias("n_manifests"))
+    n = scan(files).groupBy("repo").agg(F.count_if(F.col("scope") == "runtime").alias("n_dependencies"), F.count_if(F.col("scope") == "dev").alias("n_dev"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return primary(files).join(held, "repo").join(n, "repo", "left").select("repo", "language", "manifest", "n_manifests", zero("n_dependencies"), zero("n_dev"))
+
+
 def classify(deps: DataFrame) -> DataFrame:
     """Entries with a category and whether they are included: runtime ones are, tools and dev dependencies are not."""
     tool = F.col("language").isin("javascript", "typescript") & F.col("name").rlike(DEV_TOOLS)

@@ -10,7 +10,11 @@ FILES = [
     ("go", "go.mod", "module x\nrequire a/b v1.0\nrequire (\n\tc/d v2.0 // indirect\n)\n"),
     ("rs", "Cargo.toml", '[dependencies]\nserde = "1"\nany = "*"\ntokio = { version = "1.2" }\nx.y = "1"\n[dev-dependencies]\nprop = "2"\n'),
     ("mv", "pom.xml", "<dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>${v}</version></dependency><dependency><groupId>h</groupId><artifactId>b</artifactId><version>1</version><scope>test</scope></dependency></dependencies>"),
-    ("gr", "build.gradle", "implementation 'a:b:1'\ntestImplementation(\"c:d:2\")\n"),
+    ("gr", "build.gradle", "implementation 'a:b:1'\ntestImplementation(\"c:d:2\")\nimplementation(project(':x'))\napi 'alone'\n"),
+    ("py", "requirements.txt", "ignored==1\n"),
+    ("py", "requirements-dev.in", "tox\n"),
+    ("mv", "build.gradle", "implementation 'not:read:1'\n"),
+    ("none", "README.md", "text"),
 ]
 
 
@@ -21,7 +25,7 @@ def test_all_formats(spark):
         got.setdefault(r["repo"], set()).add((r["name"], r["version"], r["scope"]))
     assert got == {
         "js": {("react", "^18.0.0", "runtime"), ("eslint", "8", "runtime"), ("odd", None, "runtime"), ("jest", "29", "dev")},
-        "py": {("numpy", "1.2", "runtime"), ("pandas", "2.0", "runtime"), ("pytest", None, "dev"), ("httpx", "0.2", "runtime"), ("black", None, "dev")},
+        "py": {("numpy", "1.2", "runtime"), ("pandas", "2.0", "runtime"), ("pytest", None, "dev"), ("httpx", "0.2", "runtime"), ("black", None, "dev"), ("tox", None, "dev")},
         "req": {("flask", "2.0", "runtime"), ("numpy", None, "runtime"), ("pytest", "7", "dev")},
         "go": {("a/b", "v1.0", "runtime"), ("c/d", "v2.0", "runtime")},
         "rs": {("serde", "1", "runtime"), ("any", None, "runtime"), ("tokio", "1.2", "runtime"), ("prop", "2", "dev")},
@@ -31,3 +35,5 @@ def test_all_formats(spark):
     assert dict(map(tuple, manifest.language(f).collect()))["py"] == "python"
     c = {r["name"]: r["included"] for r in manifest.classify(manifest.scan(f)).where("repo = 'js'").collect()}
     assert c == {"react": True, "eslint": False, "odd": True, "jest": False}
+    rep = {r["repo"]: (r["language"], r["manifest"], r["n_manifests"], r["n_dependencies"], r["n_dev"]) for r in manifest.report(f).collect()}
+    assert rep["py"] == ("python", "pyproject.toml", 2, 3, 3) and rep["none"] == ("unknown", None, 0, 0, 0) and rep["mv"] == ("java", "pom.xml", 2, 1, 1) and rep["bad"][3:] == (0, 0)
