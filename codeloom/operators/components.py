@@ -17,12 +17,14 @@ def cycles(edges: DataFrame) -> DataFrame:
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     out = None
     while not e.isEmpty():
-        # trim
+        # trim; the number of edges left is counted once a round
+        n = e.count()
         while True:
             t = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-            if t.count() == e.count():
+            m = t.count()
+            if m == n:
                 break
-            e = t
+            e, n = t, m
         if e.isEmpty():
             break
         names = cut(e.select(F.col("src").alias("id")).distinct().withColumn("name", F.col("id")))

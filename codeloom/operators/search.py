@@ -10,8 +10,9 @@ from ..functions import scalar as S
 HIDDEN = ("UTILITY", "FILE", "GHOST", "THIRD_PARTY", "IMPL_BLOCK")
 
 
-def top(df: DataFrame, k: int, *by: Column) -> DataFrame:
-    return df.orderBy(*(by or (S.score_of(F.col("score")).desc(),)), "pos").limit(k)
+def top(df: DataFrame, k: int | None, *by: Column) -> DataFrame:
+    """The first k rows by some order, the best scores if none is given; no k leaves all rows, unordered."""
+    return df if k is None else df.orderBy(*(by or (S.score_of(F.col("score")).desc(),)), "pos").limit(k)
 
 
 def find_nodes(nodes: DataFrame, name: str = "", types: list[str] | None = None, file_path: str = "", directory: str = "", min_score: float | None = None, severity: str = "none", limit: int = 25) -> DataFrame:
@@ -62,7 +63,8 @@ def summaries(nodes: DataFrame, ids: list[str]) -> DataFrame:
     return got.select("asked", "id", "technical_summary", "business_summary", F.when(F.col("here").isNull(), "not found").alias("error"))
 
 
-def security_issues(nodes: DataFrame, least: str = "low", limit: int = 50) -> DataFrame:
+def security_issues(nodes: DataFrame, least: str = "low", limit: int | None = 50) -> DataFrame:
+    """The worst findings first; all of them without a limit."""
     rank = S.severity_rank(F.col("severity"))
     found = nodes.where(rank >= S.SEVERITIES.index(least))
     return top(found, limit, rank.desc(), S.score_of(F.col("score")).desc())

@@ -38,7 +38,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, radius: int | None = None, direction
     """(seed, id, hop, path, via, parent) for every seed (a column ``id``); the seed itself is left out.
 
     Without a radius two hops are walked, but seeds with ``FAN_OUT`` direct neighbours or more stop after the first:
-    then ``truncated`` is true. The plan stays lazy: it grows with the radius, not with the data.
+    then ``truncated`` is true. Up to two hops the plan stays lazy; past them each level is checkpointed.
     """
     walk = oriented(edges, direction, edge_types)
     start = seeds.select("id").distinct().select(F.col("id").alias("seed"), "id", F.lit(0).alias("hop"), F.array().cast("array<bigint>").alias("path"), F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("parent"))
@@ -48,6 +48,8 @@ def bfs(edges: DataFrame, seeds: DataFrame, radius: int | None = None, direction
             wide = front.groupBy("seed").count().where(F.col("count") >= FAN_OUT).select("seed")
             front = front.join(wide, "seed", "left_anti")
         front = _step(front, walk, reduce(DataFrame.unionByName, levels), hop)
+        if 2 <= hop < (radius or 0):
+            front = cut(front)  # the frontier and what was seen: without a cut the plan would double with each hop
         levels.append(front)
     out = reduce(DataFrame.unionByName, levels).where("hop > 0")
     if radius is None:

@@ -45,7 +45,7 @@ def health(nodes: DataFrame, cycles: DataFrame) -> DataFrame:
     return severity_counts(search.security_issues(nodes, "low", 200)).crossJoin(F.broadcast(n))
 
 
-def security_findings(nodes: DataFrame, edges: DataFrame, limit: int = 1000) -> DataFrame:
+def security_findings(nodes: DataFrame, edges: DataFrame, limit: int | None = 1000) -> DataFrame:
     """(id, severity, score, reach): findings; the reach, dependents within two hops, is taken of high ones only."""
     found = search.security_issues(nodes, "low", limit).select("pos", "id", "severity", "score")
     reach = bfs(edges, found.where("severity = 'high'"), 2, "up").groupBy(F.col("seed").alias("id")).agg(F.count("*").alias("r"))
@@ -72,8 +72,11 @@ def review_nodes(diff: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFra
     return out.select("id", "status", S.one_line(F.col("business_summary")).alias("summary"), F.coalesce("d", F.lit(0)).alias("dependents"), F.coalesce("t", F.lit(0)).alias("n_tests"))
 
 
-def security_delta(before: DataFrame, after: DataFrame, limit: int = 1000) -> DataFrame:
-    """(id, change): findings by id that are new or resolved, over the first findings of each snapshot."""
+def security_delta(before: DataFrame, after: DataFrame, limit: int | None = 1000) -> DataFrame:
+    """(id, change): findings by id that are new or resolved, over the first ``limit`` findings of each snapshot.
+
+    A finding that falls out of the first ones looks resolved; without a limit all are compared.
+    """
     a, b = (search.security_issues(x, "low", limit).select("id") for x in (before, after))
     return b.join(a, "id", "left_anti").withColumn("change", F.lit("new")).union(a.join(b, "id", "left_anti").withColumn("change", F.lit("resolved")))
 
@@ -99,7 +102,7 @@ def load_bearing(nodes: DataFrame, edges: DataFrame, more_than: int = 10) -> Dat
     return fan_in(edges, more_than).join(nodes.select("id", "name", "type"), "id")
 
 
-def backbone(nodes: DataFrame, limit: int = 1000) -> DataFrame:
+def backbone(nodes: DataFrame, limit: int | None = 1000) -> DataFrame:
     parts = [search.top(nodes.where(F.col("type") == t), limit) for t in ("ROUTE", "STATE_STORE", "HOOK")]
     return parts[0].union(parts[1]).union(parts[2]).select("type", "id")
 

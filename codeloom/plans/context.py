@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import search
 from ..operators.traverse import bfs
+from ..sources.checkpoint import cut
 
 NODE_CAP, BUDGET = 150, 8000
 # Seeds, edge types and directions of each intent.
@@ -136,4 +137,5 @@ def fit_to_budget(items: DataFrame, budget: int) -> DataFrame:
 
 
 def context(nodes: DataFrame, edges: DataFrame, query: str, intent: str = "generic", hops: int = 1, budget: int = BUDGET, focus: str | None = None, ids: list[str] | None = None) -> DataFrame:
-    return fold(expand(edges, seeds(nodes, query, intent, focus, ids), intent, hops), nodes, budget)
+    chosen = cut(seeds(nodes, query, intent, focus, ids))  # at most 200 rows, read by every walk
+    return fold(expand(edges, chosen, intent, hops), nodes, budget)

@@ -19,7 +19,7 @@ from ..sources.fixtures import SQL, Graphs, with_views
 from ..streaming import jobs as J
 from . import briefs as B
 from . import context as X
-from . import intake
+from . import context_sql, intake
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -197,7 +197,8 @@ add("khop_capped", lambda g: T.bfs(g.edges, one(g, "hub::ECONOMY", SEED, "part::
 add("bfs_reachable", lambda g: T.bfs(g.edges, one(g, SEED), 4, "down").select("id", "hop"), _walk(_DOWN, _S, 4) + " SELECT id, hop FROM d", "e1")
 add("blast_radius_full", lambda g: T.closure(g.edges, one(g, SEED), "up").where("id <> seed").select("id"), f"WITH b(n) AS (SELECT '{SEED}' UNION SELECT src FROM b JOIN e1 ON e1.dst = b.n) SELECT n AS id FROM b WHERE n <> '{SEED}'", "e1")
 add("shortest_path_len", lambda g: T.shortest_path(g.edges.where("type = 'CALLS'"), SEED, "part::11").agg((F.count("*") - 1).alias("length")), f"WITH b(n, h) AS (SELECT '{SEED}', 0 UNION SELECT dst, h + 1 FROM b JOIN e1 ON e1.src = b.n AND e1.type = 'CALLS' WHERE h < 20) SELECT coalesce((SELECT min(h) FROM b WHERE n = 'part::11'), -1) AS length", "e1")
-add("shortest_path", lambda g: T.shortest_path(g.edges, SEED, "hub::PROMO"))
+_WALKS = f"WITH b(n, ids, path) AS (SELECT '{SEED}', ['{SEED}'], CAST([] AS BIGINT[]) UNION ALL SELECT dst, list_append(ids, dst), list_append(path, pos) FROM b JOIN e1 ON src = n WHERE len(path) < 4 AND n <> 'hub::PROMO')"
+add("shortest_path", lambda g: T.shortest_path(g.edges, SEED, "hub::PROMO"), _WALKS + ", l AS (SELECT ids FROM b WHERE n = 'hub::PROMO' ORDER BY len(path), path LIMIT 1) SELECT CAST(unnest(range(len(ids))) AS INT) AS step, unnest(ids) AS id FROM l", "e1")
 add("adjacency", lambda g: g.edges.groupBy("src").agg(F.count("*").alias("degree"), F.count_distinct("dst").alias("targets")), "SELECT src, count(*) AS degree, count(DISTINCT dst) AS targets FROM e1 GROUP BY src", "e1")
 add("get_node_callers", lambda g: T.bfs(g.edges, one(g, SEED), 1, "up", ["CALLS"]).select("id"), f"SELECT DISTINCT src AS id FROM e1 WHERE dst = '{SEED}' AND type = 'CALLS' AND src <> dst", "e1")
 add("get_node_callees", lambda g: T.bfs(g.edges, one(g, SEED), 1, "down", ["CALLS"]).select("id"), f"SELECT DISTINCT dst AS id FROM e1 WHERE src = '{SEED}' AND type = 'CALLS' AND src <> dst", "e1")
@@ -213,9 +214,10 @@ add("connections", lambda g: T.connections(g.edges, SEED).select("direction", "t
 add("prop_children", lambda g: g.edges.where("type = 'USES'").groupBy("src").agg(F.array_join(F.sort_array(F.collect_set("dst")), ",").alias("children")), "SELECT src, string_agg(DISTINCT dst, ',' ORDER BY dst) AS children FROM e1 WHERE type = 'USES' GROUP BY src", "e1")
 _OVER = ["FUNCTION", "CLASS", "FILE"]
 for _mode, _depth, _ways in (("full", 3, (_UP, _DOWN)), ("khop", 2, (_DOWN,)), ("blast", 2, (_UP,))):
-    _b = ", ".join(f"b{i}(n, h) AS (SELECT '{SEED}', 0 UNION SELECT {w[1]}, h + 1 FROM b{i} JOIN e1 ON e1.{w[0]} = b{i}.n WHERE h < {_depth})" for i, w in enumerate(_ways))
+    _at = "hub::ECONOMY" if _mode == "blast" else SEED  # a node that others need
+    _b = ", ".join(f"b{i}(n, h) AS (SELECT '{_at}', 0 UNION SELECT {w[1]}, h + 1 FROM b{i} JOIN e1 ON e1.{w[0]} = b{i}.n WHERE h < {_depth})" for i, w in enumerate(_ways))
     _u = " UNION ".join(f"SELECT n FROM b{i}" for i in range(len(_ways)))
-    add(f"overlay_{_mode}", lambda g, m=_mode, d=_depth: T.overlay(g.edges, g.nodes, one(g, SEED), m, d, _OVER)[1].select("src", "dst", "type"), f"WITH {_b}, k AS (SELECT id FROM n1 WHERE id IN ({_u}) AND type IN ('FUNCTION', 'CLASS', 'FILE')) SELECT src, dst, type FROM e1 WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", "n1", "e1")
+    add(f"overlay_{_mode}", lambda g, m=_mode, d=_depth, at=_at: T.overlay(g.edges, g.nodes, one(g, at), m, d, _OVER)[1].select("src", "dst", "type"), f"WITH {_b}, k AS (SELECT id FROM n1 WHERE id IN ({_u}) AND type IN ('FUNCTION', 'CLASS', 'FILE')) SELECT src, dst, type FROM e1 WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)", "n1", "e1")
 _ROUTES = "SELECT id, id, 0 FROM (SELECT id FROM n1 WHERE type = 'ROUTE' ORDER BY score DESC, pos LIMIT 8)"
 _FLOWS = _walk(_DOWN, _ROUTES, 2) + " SELECT seed AS route, id, coalesce(name, id) AS name, coalesce(file_path, '') AS file_path, hop FROM d LEFT JOIN n1 USING (id)"
 for _n in ("key_flows", "arch_key_flows"):
@@ -332,9 +334,14 @@ _HITS = f"SELECT id, score, pos, kw, kw * 0.6 + score * 0.4 AS f FROM (SELECT *,
 add("seed_by_keyword", lambda g: Q.seed_by_keyword(g.nodes, _ASK, 5).select("id", F.col("keyword_score").alias("kw")), f"SELECT id, kw FROM ({_HITS}) ORDER BY f DESC, pos LIMIT 5", "n1")
 add("ctx_seeds", lambda g: X.seeds(g.nodes, _ASK, "architecture"), f"SELECT row_number() OVER (ORDER BY f DESC, pos) - 1 AS seed_no, id FROM ({_HITS}) QUALIFY seed_no < 8", "n1")
 add("ctx_expand", lambda g: X.expand(g.edges, X.seeds(g.nodes, _ASK, "explain"), "explain").select("id", "hop", "similarity"), f"WITH s AS (SELECT id FROM ({_HITS}) ORDER BY f DESC, pos LIMIT 1), w AS (SELECT id, 0 AS p, 0 AS pos FROM s UNION ALL SELECT src, 1, min(pos) FROM e1 WHERE dst IN (SELECT id FROM s) GROUP BY src UNION ALL SELECT dst, 2, min(pos) FROM e1 WHERE src IN (SELECT id FROM s) GROUP BY dst), f AS (SELECT id, min((p, pos)) AS k FROM w GROUP BY id ORDER BY k LIMIT 150) SELECT id, CASE WHEN id IN (SELECT id FROM s) THEN 0 ELSE 1 END AS hop, CAST(CASE WHEN id IN (SELECT id FROM s) THEN 1.0 ELSE 0.6 END AS DOUBLE) AS similarity FROM f", "n1", "e1")
-for _i in ("generic", "security", "architecture"):
-    add(f"ctx_{_i}", lambda g, i=_i: X.context(g.nodes, g.edges, _ASK, i))
-add("ctx_impact", lambda g: X.context(g.nodes, g.edges, _ASK, "impact", focus=SEED))
+_ASKED_SEEDS = {
+    "generic": f"SELECT row_number() OVER (ORDER BY f DESC, pos) - 1 AS seed_no, id FROM ({_HITS}) QUALIFY seed_no < 5",
+    "architecture": f"SELECT row_number() OVER (ORDER BY f DESC, pos) - 1 AS seed_no, id FROM ({_HITS}) QUALIFY seed_no < 8",
+    "security": f"SELECT row_number() OVER (ORDER BY {_RANK} DESC, coalesce(score, 0) DESC, pos) - 1 AS seed_no, id FROM n1 WHERE {_RANK} >= 1 QUALIFY seed_no < 200",
+    "impact": f"SELECT -1 AS seed_no, '{SEED}' AS id",
+}
+for _i, _seeds in _ASKED_SEEDS.items():
+    add(f"ctx_{_i}", lambda g, i=_i: X.context(g.nodes, g.edges, _ASK, i, focus=SEED if i == "impact" else None), context_sql.context(_seeds, _i), "n1", "e1")
 _ITEMS = "WITH i AS (SELECT doc_id AS ord, n_chars AS cost FROM documents WHERE doc_id < 40)"
 add("fit_to_budget", lambda g: X.fit_to_budget(g.table("documents").select(F.col("doc_id").alias("ord"), F.col("n_chars").alias("cost")), 20_000), _ITEMS + " SELECT ord, cost, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(cost) OVER (ORDER BY ord) AS used FROM i) WHERE used <= 20000")
 

@@ -180,3 +180,17 @@ def test_registered_queries_read_the_whole_table(spark, tmp_path):
     q = registry.queries()
     assert q["fit_to_budget"](spark, str(tmp_path)).count() == len(rows)
     assert {r["code"] for r in q["node_code"](spark, str(tmp_path)).where("id = 101").collect()} == {"y\nz"}
+
+
+def test_security_delta_without_a_limit_compares_all(spark):
+    rows = lambda ids: _nodes(spark, [(i, f"n{i}", "n", "HOOK", "f", 1, 1, float(i), None, None, "high") for i in ids])
+    before, after = rows(range(6)), rows([0, *range(2, 9)])
+    assert got(briefs.security_delta(before, after, None), "id", "change") == [("n1", "resolved"), ("n6", "new"), ("n7", "new"), ("n8", "new")]
+    assert ("n2", "resolved") in got(briefs.security_delta(before, after, 6), "id", "change")  # crowded out by better scores
+
+
+def test_walks_past_two_hops_are_cut(spark):
+    e = edges(spark, [(f"x{i}", f"x{i + 1}") for i in range(9)] + [("x3", "x0")])
+    hits = traverse.bfs(e, spark.createDataFrame([("x0",)], "id string"), 7)
+    assert got(hits, "id", "hop") == [(f"x{i}", i) for i in range(1, 8)]
+    assert hits._jdf.queryExecution().logical().toString().count("Join") < 40
