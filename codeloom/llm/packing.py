@@ -2,7 +2,7 @@
 
 A piece of n tokens costs ``linear * n + quadratic * n * n`` (projections and attention inside the piece). Full-length
 pieces are sequences of their own. The rest of a batch goes, in descending order, to the cheapest open sequence that
-still holds it; where none of the cheapest does, the document is cut and fills what is left, so a batch of about a
+still holds it; where none does, the document is cut and fills what is left, so a batch of about a
 million tokens is padded by less than one sequence in all.
 
 Every input partition packs its own rows in bounded batches: no shuffle, and a lost task packs the same rows again.
@@ -10,19 +10,18 @@ Every input partition packs its own rows in bounded batches: no shuffle, and a l
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, tokens
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
-#: Open sequences that are tried for a whole document before it is cut.
-TRIES = 16
 
 
 def place(lengths: list[int], capacity: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -42,28 +41,23 @@ def place(lengths: list[int], capacity: int, linear: float, quadratic: float) ->
             rest.append((n % capacity, i, full * capacity))
     rest.sort(key=lambda r: (-r[0], r[1]))
     n_open = -(-sum(r[0] for r in rest) // capacity)
-    heap = [(0.0, n_seq + s, 0) for s in range(n_open)]  # cost, sequence, filled
+    cost, free = np.zeros(n_open), np.full(n_open, capacity)
 
-    def put(cost: float, seq: int, filled: int, item: int, start: int, n: int) -> None:
-        out.append((item, start, n, seq, filled))
-        if filled + n < capacity:
-            heapq.heappush(heap, (cost + linear * n + quadratic * n * n, seq, filled + n))
+    def put(s: int, item: int, start: int, n: int) -> None:
+        out.append((item, start, n, n_seq + s, capacity - int(free[s])))
+        free[s] -= n
+        cost[s] += linear * n + quadratic * n * n
 
     for n, item, start in rest:
-        passed = []
-        while heap and len(passed) < TRIES and capacity - heap[0][2] < n:
-            passed.append(heapq.heappop(heap))
-        if heap and capacity - heap[0][2] >= n:
-            put(*heapq.heappop(heap), item, start, n)
-            for p in passed:
-                heapq.heappush(heap, p)
-            continue
-        for p in passed:
-            heapq.heappush(heap, p)
-        while n:  # cut: the cheapest sequences with room take what they can
-            cost, seq, filled = heapq.heappop(heap)
-            k = min(n, capacity - filled)
-            put(cost, seq, filled, item, start, k)
+        while n:
+            room = np.flatnonzero(free >= n)
+            if len(room):  # the cheapest of all sequences that hold it, the first of equals
+                put(int(room[cost[room].argmin()]), item, start, n)
+                break
+            room = np.flatnonzero(free)  # cut: the cheapest with room takes what it can
+            s = int(room[cost[room].argmin()])
+            k = int(free[s])
+            put(s, item, start, k)
             start, n = start + k, n - k
     return out
 
@@ -102,14 +96,13 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
             size = 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.float64())], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "cost"])
 
-        for b in batches:
-            for part in tokens.slices(b, "text"):
-                ids = cache.encode_all([t or "" for t in part.column("text").to_pylist()])
-                for doc, x in zip(part.column("doc_id").to_pylist(), ids):
-                    held.append((doc, x + end))
-                    size += len(x) // 4 + 1
-                    if size >= batch_tokens:
-                        yield flush()
+        for part in tokens.pooled(batches, "text"):
+            ids = cache.encode_all(pc.fill_null(part.column("text"), ""))
+            for doc, x in zip(part.column("doc_id").to_pylist(), ids):
+                held.append((doc, x + end))
+                size += len(x) // 4 + 1
+                if size >= batch_tokens:
+                    yield flush()
         if held:
             yield flush()
 

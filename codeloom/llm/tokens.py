@@ -24,6 +24,8 @@ from . import common
 
 #: Entries that a worker's cache holds before it starts anew: bounds memory, never results.
 CACHE = 150_000
+#: Bytes of text that are encoded together: bounds a task's working memory, never results.
+POOL = 8 << 20
 _state: dict = {}
 common.caches("tokens", _state.clear)
 
@@ -169,17 +171,19 @@ class IdCache(dict):
         self[chunk] = got
         return got
 
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Encode all unknown chunks of some texts at once."""
-        split = [chunks(t) for t in texts]
+    def learn(self, chunks: list[str]) -> None:
+        """Encode all unknown ones of some different chunks at once."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
             self[""] = b""
-        missing = set().union(*split).difference(self)
-        new = [w for w in missing if w not in self.old]
-        for w in missing.intersection(self.old):
-            self[w] = self.old[w]
+        new, old = [], self.old
+        for w in chunks:
+            if w not in self:
+                if (b := old.get(w)) is not None:
+                    self[w] = b
+                else:
+                    new.append(w)
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             text = "\n".join(part)
@@ -188,10 +192,24 @@ class IdCache(dict):
             for w, b in zip(part, self.merger.encode(part)):
                 if b is not None:
                     self[w] = b
-        return split
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(map(self.__getitem__, ws)) for ws in self.learn(texts)]
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Chunks are told apart and put together again in whole columns; only different ones are looked up."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        which, different = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.learn(different)
+        held = list(map(self.__getitem__, different))
+        n = np.fromiter(map(len, held), np.int32, len(held)) // 4
+        ids, per = np.frombuffer(b"".join(held), "<u4"), n[which]
+        ends = np.cumsum(per)  # 64 bits
+        # every chunk's ids, one after another: a run of places in ``ids`` for each
+        starts = np.cumsum(n) - n
+        place = np.repeat((starts[which] - (ends - per)).astype(np.int32), per)
+        place += np.arange(len(place), dtype=np.int32)
+        data = ids[place].tobytes()
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])] * 4
+        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 class CountCache(dict):
@@ -277,6 +295,21 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 2_000_000) -> Iterator[
         yield batch.slice(at)
 
 
+def pooled(batches: Iterator[pa.RecordBatch], text: str, most: int = POOL) -> Iterator[pa.RecordBatch]:
+    """Rows of several batches together, about ``most`` bytes of text, one row at least: a chunk is looked up once a pool."""
+    held, size = [], 0
+    for b in batches:
+        for part in slices(b, text, most):
+            n = pc.sum(pc.binary_length(part.column(text))).as_py() or 0
+            if held and size + n > most:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
 def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 

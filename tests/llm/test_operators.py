@@ -243,12 +243,17 @@ def test_token_counts(docs, none):
 
 def test_chunks_encode_as_the_library_does():
     r = random.Random(1)
-    al = "aAbzéÉßæŒİıſ ²½ªº  \t\n'`s.<|>0123,;-_😀漢字é̀\x01\x1c\x85 Σς"
+    al = "aAbzéÉßæŒİıſ ²½ªº  \t\n\r\x0b\x0c'`s.<|>0123,;-_😀漢字é̀\x01\x1c\x85 Σς"
     texts = ["".join(r.choice(al) for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "don't I'LL can't'S"]
     path = tokens.tokenizer_path()
     ids, counts = tokens.IdCache(path), tokens.CountCache(path, tokens.proven_whole_tokens(path))
     want = _ids(texts)
-    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_all(texts)] == want
+    import pyarrow as pa
+
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_all(pa.array(texts))] == want
+    assert ids.encode_all(pa.array([], pa.string())) == [] and ids.encode_all(pa.array(["", " \n"])) == [b"", b""]
+    part = pa.array(["skipped words", "one two", "", "three"]).slice(1)
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_all(part)] == _ids(["one two", "", "three"])
     assert counts.count_all(texts) == [len(w) for w in want]
 
 
@@ -274,6 +279,30 @@ def test_packing(docs, none):
     assert sum(costs.values()) == 39 and len(costs) == 1
 
 
+def test_packing_takes_the_cheapest_sequence_of_all_that_have_room():
+    r = random.Random(11)
+    for _ in range(30):
+        capacity = r.choice((16, 50, 64))
+        lengths = [r.randint(0, 2 * capacity) for _ in range(r.randint(0, 60))]
+        got = packing.place(lengths, capacity, 1.0, 0.01)
+        at, cost = collections.Counter(), collections.Counter()
+        open_ = -(-sum(n % capacity for n in lengths) // capacity)
+        first = sum(n // capacity for n in lengths)
+        for i, start, n, seq, offset in got:
+            assert offset == at[seq] and offset + n <= capacity
+            if n < capacity and seq >= first:
+                left = lengths[i] - start
+                room = [s for s in range(first, first + open_) if capacity - at[s] >= left] or [s for s in range(first, first + open_) if at[s] < capacity]
+                assert seq == min(room, key=lambda s: (cost[s], s)) and n == min(left, capacity - at[seq])  # cut only where no sequence holds it
+                cost[seq] += n + 0.01 * n * n
+            at[seq] += n
+        pieces = collections.defaultdict(list)
+        for i, start, n, *_ in got:
+            pieces[i].append((start, n))
+        for i, n in enumerate(lengths):
+            assert [x for s, k in sorted(pieces[i]) for x in range(s, s + k)] == list(range(n))
+
+
 def test_decontamination(docs, none, spark):
     items = [(1, TEXTS[11]), (2, " ".join(TEXTS[15].split()[:40])), (3, "one"), (4, ""), (5, None), (6, "not in any document at all"), (2, " ".join(TEXTS[15].split()[:40]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
