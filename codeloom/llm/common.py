@@ -97,8 +97,23 @@ def worker(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterato
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; our own choice only where the cluster names none (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    """The folder that all machines share, as the cluster names it; our own only on a local master (tests).
+
+    On a cluster that names none this raises: a machine-local folder would be another one on each machine.
+    """
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return at or "file:///tmp/checkpoints"
+
+
+#: Bytes up to which a table of known size is broadcast.
+BROADCAST = 64 << 20
+
+
+def small(df: DataFrame, rows: int, width: int) -> DataFrame:
+    """``df`` as a side that is broadcast if ``rows`` of at most ``width`` bytes are few enough; else the join is left to Spark."""
+    return F.broadcast(df) if rows * width <= BROADCAST else df
 
 
 class Scratch:
@@ -132,9 +147,9 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_all(keep: "Scratch | None" = None) -> None:
-    """Delete the scratch tables of earlier results. Call it when those results are written."""
-    for s in [x for x in _left if x is not keep]:
+def release_all(keep: "Scratch | None" = None, since: int = 0) -> None:
+    """Delete the scratch tables of results made since ``since`` (see ``now``). Call it when those results are written."""
+    for s in [x for x in _left[since:] if x is not keep]:
         _left.remove(s)
         try:
             s.release()
@@ -142,4 +157,9 @@ def release_all(keep: "Scratch | None" = None) -> None:
             pass
 
 
+def now() -> int:
+    """A mark for ``release_all``: results made before it keep their scratch tables."""
+    return len(_left)
+
+
 atexit.register(release_all)

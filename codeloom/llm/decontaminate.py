@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Keys up to which the items' side of a join is broadcast. Beyond, the join is left to a shuffle by key.
-BROADCAST_KEYS = 1_000_000
 WIDTH = 5
 
 
@@ -41,10 +39,6 @@ def _with_hashes(t: DataFrame, words: str) -> DataFrame:
     return t.withColumn("d_hash", F.transform(words, lambda w: F.xxhash64(w))).withColumn("d_set", _hashed()).drop("d_hash")
 
 
-def _small(df: DataFrame, keys: int) -> DataFrame:
-    return F.broadcast(df) if keys <= BROADCAST_KEYS else df
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: float = 1e-9) -> DataFrame:
     """doc_id, item_id, n_item_shingles, n_shared, containment for every document that holds ``threshold`` of an item. See ``matches``."""
     out = matches(docs, items, threshold, miss)
@@ -56,7 +50,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.75) -> DataFra
     """The rows of ``docs`` that hold no item, unchanged."""
     bad = matches(docs, items, threshold).select(F.col("doc_id").alias("d_bid"), F.col("d_t").alias("d_bt")).distinct()
     bad = common.Scratch(docs.sparkSession, "decontaminate").save(bad, "bad")
-    bad = _small(bad, bad.count())
+    bad = common.small(bad, bad.count(), 32)
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("d_bid")) & (F.xxhash64(F.col("text").cast("string")) == F.col("d_bt")), "left_anti")
 
 
@@ -65,7 +59,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: fl
 
     ``miss`` bounds the chance that a pair at the threshold is not a candidate. Null or empty texts hold nothing and items
     without words are in no document. Documents with a null doc_id are reported with it; repeated documents or
-    items give one row for each distinct pair of ids; empty tables give no rows; other columns are ignored.
+    items give one row for each distinct pair of ids; very long texts are probed whole; empty tables give no rows; other columns are ignored.
     An item of fewer than five words is one shingle, its whole sequence: only a text of exactly these words holds it, a longer one never.
     """
     import math
@@ -90,17 +84,18 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: fl
     # the filter that Spark infers for explode() would build every set a second time; its null rows join nothing.
     sets = _with_hashes(dt, "d_dwords").select("doc_id", F.xxhash64("d_text").alias("d_t"), F.size("d_set").alias("d_dn"), "d_set")
     sets = sets.select("doc_id", "d_t", "d_dn", F.explode_outer("d_set").alias("d_key"))
-    hits = sets.join(_small(keys, n_keys), "d_key").where(F.col("d_dn") >= F.col("d_need")).select("doc_id", "d_t", "d_item").distinct()
+    hits = sets.join(common.small(keys, n_keys, 48), "d_key").where(F.col("d_dn") >= F.col("d_need")).select("doc_id", "d_t", "d_item").distinct()
     hits = scratch.save(hits, "candidates")
     # verification: whole shingles of candidate documents against whole shingles of their items
     n_hit = hits.count()
     wanted = hits.groupBy("doc_id", "d_t").agg(F.count("*").alias("d_c")).drop("d_c").withColumnRenamed("doc_id", "d_wid").withColumnRenamed("d_t", "d_wt")
-    wanted = _small(wanted, n_hit)
+    wanted = common.small(wanted, n_hit, 32)
     found = dt.withColumn("d_t", F.xxhash64("d_text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_wid")) & (F.col("d_t") == F.col("d_wt")), "left_semi")
     found = found.select("doc_id", "d_t", F.explode_outer(shingles("d_dwords")).alias("d_s"))
     item_s = it.select("d_item", "item_id", "d_n", F.explode(shingles("d_words")).alias("d_s"))
-    n_item = it.agg(F.coalesce(F.sum("d_n"), F.lit(0))).first()[0]
-    shared = found.join(_small(item_s, n_item), "d_s").groupBy("doc_id", "d_t", "d_item", "item_id", "d_n").agg(F.count_distinct("d_s").alias("n_shared"))
+    # a word stands in five shingles at most; a row has some fixed bytes besides
+    n_item, n_bytes = it.agg(F.coalesce(F.sum("d_n"), F.lit(0)), F.coalesce(F.sum(F.octet_length(F.array_join("d_words", " ")) + 1), F.lit(0))).first()
+    shared = found.join(common.small(item_s, 1, 64 * n_item + WIDTH * n_bytes), "d_s").groupBy("doc_id", "d_t", "d_item", "item_id", "d_n").agg(F.count_distinct("d_s").alias("n_shared"))
     shared = shared.where(F.col("n_shared") >= F.lit(threshold) * F.col("d_n"))
     # the candidates decide: a pair that the search did not propose is not reported
     h = hits.select(F.col("doc_id").alias("d_hid"), F.col("d_t").alias("d_ht"), F.col("d_item").alias("d_hitem"))

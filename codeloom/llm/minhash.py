@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Documents are linked if 100 * shared >= percent * union of their shingle sets. Texts without words are linked with nothing.
     A row with a null doc_id cannot be named, so it is linked with nothing: component_id is null and it is kept. Rows with
-    one doc_id are one document; repeated rows give repeated rows. An empty table gives none; other columns are ignored.
+    one doc_id are one document; repeated rows, however many, give repeated rows and are compared once. Very long texts are one set
+    like others, whose registers are taken in blocks. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     common.ship(spark)
@@ -233,16 +234,25 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     wanted = members.select(F.col("m_rep").alias("doc_id")).distinct()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
         import zstandard
 
-        c = zstandard.ZstdCompressor(level=3)
+        c, seen = zstandard.ZstdCompressor(level=3), set()
         for b in batches:
-            z = [c.compress((t or "").encode("utf-8", "surrogatepass")) for t in b.column("m_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(z, pa.binary())], ["doc_id", "m_z"])
-
-    # one move of the texts: the candidates' texts, packed, serve both rounds
+            rows = []
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("m_text").to_pylist()):
+                data = (t or "").encode("utf-8", "surrogatepass")
+                key = (i, xxhash.xxh3_128_intdigest(data))
+                if i is None or key in seen:  # repeated rows go in their task already, the rest of them after the join
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(key)
+                rows.append((i, c.compress(data)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "m_z"])
+
+    # one move of the texts: the candidates' texts, packed, serve both rounds. Each text of an id is kept once.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("m_text")).mapInArrow(common.worker("minhash", pack), "doc_id long, m_z binary")
-    texts = scratch.save(texts.join(wanted, "doc_id"), "texts")
+    texts = scratch.save(texts.join(wanted, "doc_id").distinct(), "texts")
 
     # a pair at the threshold falls below this bound with a probability of 2e-8 (5.5 deviations)
     t = percent / 100

@@ -66,7 +66,7 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 1, path: str | Non
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, cost.
 
     A document is its ids followed by ``end_id``, so null and empty texts are one token. Null doc_ids are packed
-    like others, repeated rows once each, an empty table gives no rows; other columns are ignored.
+    like others, repeated rows once each; very long texts fill sequences of their own; an empty table gives no rows; other columns are ignored.
     """
     path = path or tokens.tokenizer_path()
     common.ship(docs.sparkSession)

@@ -19,21 +19,45 @@ from . import common
 _COLS = ["doc_id", "size", "text_crc32", "sh_n"]
 
 
+#: Copies of one row that are numbered together.
+COPIES = 10_000
+#: Below this, numpy draws hypergeometric numbers itself.
+LARGE = 1_000_000_000
+
+
+def draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """A hypergeometric number: how many of ``n`` draws are good."""
+    if not n or not good:
+        return 0
+    if not bad:
+        return n
+    if good < LARGE and bad < LARGE:
+        return int(rng.hypergeometric(good, bad, n))
+    # populations beyond numpy's range: inversion over all counts within 14 deviations of the mean, outside which less than 1e-40 lies
+    total = good + bad
+    mean = n * good / total
+    width = 14 * np.sqrt(mean * (bad / total) * max(1.0, (total - n) / max(1, total - 1))) + 20
+    k = np.arange(max(0, n - bad, int(mean - width)), min(n, good, int(mean + width)) + 1, dtype=float)
+    steps = np.log(good - k[:-1]) + np.log(n - k[:-1]) - np.log(k[:-1] + 1) - np.log(bad - n + k[:-1] + 1)
+    log = np.concatenate([[0.0], np.cumsum(steps)])
+    mass = np.cumsum(np.exp(log - log.max()))
+    return int(k[min(np.searchsorted(mass, rng.random() * mass[-1], side="right"), len(k) - 1)])
+
+
 def draw_matrix(counts: list[int], capacities: list[int], seed: int) -> np.ndarray:
     """blocks x shards counts with the given row and column sums, drawn without replacement."""
     if sum(counts) != sum(capacities):
         raise ValueError("counts and capacities differ in total")
-    rng, left = np.random.Generator(np.random.PCG64(seed)), np.array(capacities, dtype=np.int64)
+    rng, left = np.random.Generator(np.random.PCG64(seed)), [int(c) for c in capacities]
     out = np.zeros((len(counts), len(capacities)), dtype=np.int64)
     for i, n in enumerate(counts):
-        remaining = int(left.sum())
+        remaining = sum(left)
         for j, c in enumerate(left[:-1]):  # one hypergeometric draw a shard; the last gets the rest
-            k = 0 if not n else int(rng.hypergeometric(int(c), remaining - int(c), n)) if remaining - int(c) else n
-            remaining -= int(c)
-            out[i, j] = k
-            n -= k
+            remaining -= c
+            out[i, j] = draw(rng, c, remaining, n)
+            n -= int(out[i, j])
         out[i, -1] = n
-        left -= out[i]
+        left = [c - int(x) for c, x in zip(left, out[i])]
     return out
 
 
@@ -45,7 +69,8 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int =
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row for every row of ``docs``.
 
     Null text counts as empty (size 1, crc 0); null doc_ids, repeated rows and equal texts are dealt like any others
-    (identical rows are interchangeable); an empty table gives no rows; other columns are ignored.
+    (identical rows are interchangeable, and any number of them is split over tasks); texts of any length only count by their size;
+    an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -59,8 +84,14 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int =
     # only needed where a digest repeats, and is taken by salt: hash of the row's place is not stable, so a counter is.
     spread = F.xxhash64("doc_id", "size", "text_crc32", F.lit(seed))
     repeated = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("sh_c"))
-    # one row for each distinct digest; copies are made again by explode, each with its own number
-    rows = repeated.withColumn("sh_n", F.explode(F.sequence(F.lit(1), F.col("sh_c").cast("long")))).drop("sh_c")
+    # One row for each distinct digest; copies are made again by explode, each with its own number. Many copies are first cut into
+    # runs of a bounded number, which are dealt to tasks by their own key.
+    repeated = scratch.save(repeated, "digests")
+    few = repeated.where(F.col("sh_c") <= COPIES).withColumn("sh_n", F.explode(F.sequence(F.lit(1).cast("long"), "sh_c")))
+    runs = repeated.where(F.col("sh_c") > COPIES).withColumn("sh_r", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(sh_c - 1) div {COPIES}"))))
+    runs = runs.repartition("doc_id", "size", "text_crc32", "sh_r")
+    many = runs.withColumn("sh_n", F.explode(F.sequence(F.col("sh_r") * COPIES + 1, F.least("sh_c", (F.col("sh_r") + 1) * COPIES)))).drop("sh_r")
+    rows = few.unionByName(many).drop("sh_c")
     rows = rows.withColumn("sh_block", F.pmod(F.xxhash64(spread, "sh_n"), F.lit(n_blocks)).cast("int"))
     counts = _bounds(rows, "sh_block")
     at = [counts.get((b,), 0) for b in range(n_blocks)]
@@ -68,8 +99,8 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int =
     matrix = draw_matrix(at, capacities, seed)
     ends = matrix.cumsum(axis=1)
     cut = spark.createDataFrame([(b, [int(x) for x in ends[b]]) for b in range(n_blocks)], "sh_block int, sh_ends array<long>")
-    # blocks x shards counts, a proven bound (a block for every block_rows rows); past a million blocks Spark chooses the join
-    cut = F.broadcast(cut) if n_blocks <= 1_000_000 else cut
+    # blocks x shards counts, a block for every block_rows rows: broadcast as long as these bytes are few
+    cut = common.small(cut, n_blocks, 8 * n_shards + 48)
     order = [F.xxhash64(spread, "sh_n", F.lit("first")), *_COLS]
     place = F.row_number().over(Window.partitionBy("sh_block").orderBy(*order))
     dealt = rows.withColumn("sh_place", place).join(cut, "sh_block")
@@ -87,7 +118,7 @@ def shard(docs: DataFrame, n_shards: int = 16, seed: int = 7, block_rows: int =
             first.append((s, b, k))
             k += counts.get((s, b), 0)
     starts = spark.createDataFrame(first, "shard int, sh_sub int, sh_first long")
-    starts = F.broadcast(starts) if len(first) <= 1_000_000 else starts
+    starts = common.small(starts, len(first), 48)
     slot = F.row_number().over(Window.partitionBy("shard", "sh_sub").orderBy("sh_key", *_COLS))
     out = dealt.withColumn("sh_slot", slot).join(starts, ["shard", "sh_sub"])
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("sh_first") + F.col("sh_slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

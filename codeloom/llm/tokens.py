@@ -314,7 +314,7 @@ def token_counts(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
     """doc_id, n_bytes, n_tokens, over_limit of every whole text.
 
     Null text counts as empty (0 bytes, 0 tokens); null doc_id is kept; repeated rows give repeated rows; an
-    empty table gives none; other columns are ignored. No shuffle: one narrow pass over (doc_id, text).
+    empty table gives none; very long texts are counted whole; other columns are ignored. No shuffle: one narrow pass over (doc_id, text).
     """
     path = path or tokenizer_path()
     spark = docs.sparkSession

@@ -114,7 +114,12 @@ def length_of(body: str) -> float:
 
 
 def learn(sample: DataFrame, max_terms: int = 4000, max_candidates: int = 50_000, least: int = 3) -> dict:
-    """Lexicon, exceptions and calibration from (t_text, t_y) rows. ``sample`` is bounded by its maker."""
+    """Lexicon, exceptions and calibration from (t_text, t_y) rows. ``sample`` is bounded by its maker.
+
+    The lexicon's size is a parameter of the model, as is the sample's: it holds the ``max_terms`` terms that tell the classes
+    best apart, of the ``max_candidates`` that most toxic documents hold, in ``least`` of them or more, and as many exceptions. Whole words
+    over 40 letters are no terms (their beginnings are). Scoring reads whole texts, whatever their length.
+    """
 
     def counted(of: int, among: frozenset | None):
         """A function that counts, in how many documents of a class, the terms that are ``among`` some (none given: all)."""
@@ -264,7 +269,7 @@ def scores(model: dict, texts, threshold: float) -> list[float]:
 def score(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, threshold: float = 0.3, hold_out: bool = True) -> DataFrame:
     """doc_id, held_out, score, predicted: a row for every row of ``docs``.
 
-    Null and empty texts match nothing and score 0; a null doc_id is held in; without labels of both classes every score is 0;
+    Null and empty texts match nothing and score 0; very long texts are matched whole; a null doc_id is held in; without labels of both classes every score is 0;
     repeated rows are kept; an empty table gives no rows; other columns are ignored.
     """
     rate = scorer(docs.sparkSession, fit(docs, labels, max_train, hold_out), threshold)
@@ -275,4 +280,4 @@ def score(docs: DataFrame, labels: DataFrame, max_train: int = 10_000, threshold
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under the threshold, unchanged."""
     rate = scorer(docs.sparkSession, fit(docs, labels), threshold)
-    return docs.withColumn("t_score", rate(F.col("text").cast("string"))).where(F.col("t_score") < threshold).drop("t_score")
+    return docs.where(rate(F.col("text").cast("string")) < threshold)

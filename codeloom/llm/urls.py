@@ -132,7 +132,7 @@ def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int = 2
     """page_id, host, path, rule, verdict, score: a row for every row of ``pages``.
 
     Null URLs and URLs without ``://`` have an empty host and path and no rule; the trees judge them. With no labelled URL
-    or one class only, the score is the base rate. Null page_ids and repeated rows are kept; an empty table gives none.
+    or one class only, the score is the base rate. Very long URLs are read whole. Null page_ids and repeated rows are kept; an empty table gives none.
     """
     url = F.col("url").cast("string")
     host, path = host_and_path(F.col("u_url"))

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.llm import bwt, decontaminate, graph, lm, minhash, packing, quality, sharding, suffix, tokens, toxicity, urls
 from codeloom.llm.common import Scratch
@@ -84,6 +85,16 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == sorted({find(i) for i in by})
 
 
+def test_near_duplicates_of_thousands_of_rows_with_one_id(spark):
+    r = random.Random(15)
+    words = [f"w{i}" for i in range(300)]
+    one, other = (" ".join(r.choices(words, k=200)) for _ in range(2))
+    rows = [(7, one)] * 3000 + [(9, one + " more")] * 1500 + [(3, other)] * 2 + [(None, one)] * 500 + [(11, one)]
+    got = collections.Counter(map(tuple, minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()))
+    n = [len(shingles(x)) for x in (one, one + " more", other)]
+    assert got == {(7, n[0], 7, True): 3000, (9, n[1], 7, False): 1500, (3, n[2], 3, True): 2, (None, n[0], None, True): 500, (11, n[0], 7, False): 1}
+
+
 def test_prefix_filter_finds_what_all_pairs_do(spark):
     r = random.Random(5)
     boiler = [f"b{i}" for i in range(60)]
@@ -379,6 +390,29 @@ def test_sharding(docs, none):
     assert m.sum(axis=1).tolist() == [5, 0, 9, 2] and m.sum(axis=0).tolist() == [6, 5, 5] and (m >= 0).all()
 
 
+def test_sharding_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 100)
+    rows = [(1, "same")] * 5000 + [(i, f"t{i}") for i in range(300)] + [(None, None)] * 250
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), block_rows=200, least_blocks=4).collect()
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+    assert len(got) == 5550 and all(sorted(v) == list(range(len(v))) for v in by.values()) and {len(v) for v in by.values()} <= {346, 347}
+    copies = collections.Counter(r["shard"] for r in got if r["doc_id"] == 1)
+    assert min(copies.values()) > 250 and len(copies) == 16
+
+
+def test_draws_beyond_the_range_of_numpy(monkeypatch):
+    rng = np.random.Generator(np.random.PCG64(1))
+    big = [sharding.draw(rng, 3_000_000_000, 9_000_000_000, 10_000) for _ in range(400)]
+    assert abs(np.mean(big) - 2500) < 12 and abs(np.std(big) - np.sqrt(10_000 * 0.25 * 0.75)) < 6
+    monkeypatch.setattr(sharding, "LARGE", 1)  # the same law as numpy's where both can draw
+    own = [sharding.draw(rng, 40, 60, 30) for _ in range(4000)]
+    theirs = rng.hypergeometric(40, 60, 30, 4000)
+    assert abs(np.mean(own) - theirs.mean()) < 0.2 and abs(np.std(own) - theirs.std()) < 0.2 and 0 <= min(own) and max(own) <= 30
+    assert [sharding.draw(rng, g, b, n) for g, b, n in ((0, 5, 3), (5, 0, 3), (5, 5, 0), (3, 2, 5))] == [0, 3, 0, 3]
+
+
 def test_urls(spark):
     rows = ["https://a.Example.NET/en/x?q=1", "http://example.net/fr/", "https://b.example.org/fr/1", "https://example.org/de/", "ftp://x.example.com/de/1#f", "http://notexample.com/de/", None, "no scheme", "http://net", "x://org/fr/"]
     p = spark.createDataFrame([(i, u, "h", "clash") for i, u in enumerate(rows)] * 30 + [(None, None, None, None)], "page_id long, url string, host string, rule string")
@@ -394,6 +428,74 @@ def test_urls(spark):
     assert (((base + sum(t.predict(["a", "b"], x) for t in trees)) > 0) == (x[:, 0] > 3)).mean() > 0.99
 
 
+def test_trees_score_alike_as_columns_and_in_numpy(spark):
+    r = np.random.default_rng(3)
+    urls_ = [None, "", "x", "https://" + "a." * 3000 + "org/" + "p/" * 5000 + "?" + "k=v&" * 4000] + [f"{p}://{h}.{t}/{'d/' * int(k)}p{int(k) * 37}?a={k}{'&b=1' * int(k % 3)}{'#f' * int(k % 2)}" for k, p, h, t in zip(range(300), r.choice(["http", "https"], 300), r.choice(["a-b", "shop24", "news"], 300), r.choice(["org", "net", "com", "example.com"], 300))]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, u_url string")
+    host, path = urls.host_and_path(F.col("u_url"))
+    df = df.withColumn("host", host).withColumn("path", path)
+    cols = urls.features(F.col("u_url"), F.col("host"), F.col("path"), {"": 0.5, "org": 0.2, "com": 0.8})
+    df = df.select("page_id", *[c.alias(k) for k, c in cols.items()])
+    rows = df.orderBy("page_id").collect()
+    x = np.array([[row[k] for k in cols] for row in rows], dtype=float)
+    y = (x[:, [*cols].index("depth")] > 3).astype(float)
+    base, trees = urls.boost([*cols], x, y, trees=8)
+    want = base + sum(t.predict([*cols], x) for t in trees)
+    total = F.lit(base)
+    for t in trees:
+        total = total + t.column({k: F.col(k) for k in cols})
+    got = [row[0] for row in df.orderBy("page_id").select(total).collect()]
+    assert np.allclose(got, want) and len({round(v, 6) for v in got}) > 1
+    long = x[3]
+    assert long[[*cols].index("length")] == len(urls_[3]) and long[[*cols].index("parameters")] == 4001 and long[[*cols].index("depth")] == 5001
+
+
+def test_matching_is_that_of_a_naive_search():
+    r = random.Random(14)
+    for _ in range(300):
+        words = ["".join(r.choice("ab") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 12))]
+        body = " " + " ".join(words) + " " if words else " "
+        lexicon = {t: r.choice((1.0, 2.5, 3.0)) for t in {r.choice((" {} ", " {}")).format("".join(r.choice("ab") for _ in range(r.randint(2, 4)))) for _ in range(5)}}
+        exceptions = [f" {r.choice(words)} {r.choice(words)} " for _ in range(2)] if words else []
+        spared = [(k, k + len(e) - 1) for e in exceptions if e not in lexicon for k in range(len(body)) if body.startswith(e, k)]
+        best = {}
+        for k in range(len(body)):
+            for t, w in lexicon.items():
+                if body.startswith(t, k) and not any(a <= k < b for a, b in spared):
+                    best[k] = max(w, best.get(k, 0.0))
+        total, n = toxicity.hits(toxicity._machine(lexicon, exceptions), body)
+        assert n == len(best) and abs(total - sum(best.values())) < 1e-9
+
+
+def test_toxicity_scores_are_those_of_the_model(spark):
+    r = random.Random(16)
+    w = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    text = lambda i: " ".join(r.choice(w) for _ in range(50)) + (" vile rotten " if i % 4 == 0 else "")
+    rows = [(i, text(i), "clash", 0.5) for i in range(300)] + [(5, text(0), None, None), (1000, text(4) + " filler" * 50_000, "", 1.0), (None, text(8), "", 1.0), (1001, None, "", None), (1002, "  \n", "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, predicted string, score double")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)] + [(7, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert any("vile" in t for t in model["lexicon"])
+    got = collections.Counter((x["doc_id"], x["score"]) for x in toxicity.score(docs, labels).collect())
+    import math
+
+    want = collections.Counter()
+    for i, t, *_ in rows:
+        body = toxicity.folded(t)
+        found = {}
+        for k in range(len(body)):
+            for term, weight in model["lexicon"].items():
+                if body.startswith(term, k):
+                    found[k] = max(weight, found.get(k, 0.0))
+        for e in model["exceptions"]:
+            for k in range(len(body)):
+                if body.startswith(e, k):
+                    found = {p: v for p, v in found.items() if not k <= p < k + len(e) - 1}
+        z = (sum(found.values()) / math.sqrt(max(25, body.count(" ") - 1)) - model["cut"]) / model["scale"] + math.log(0.3 / 0.7)
+        want[i, round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 9) if found else 0.0] += 1
+    assert got == want
+
+
 def test_toxicity(spark, none):
     r = random.Random(4)
     w = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
