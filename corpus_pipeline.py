@@ -56,10 +56,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.Scratch(spark, "pipeline")
+    docs, scratch, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.Scratch(spark, "pipeline"), common.now()
     for name, stage in STAGES:
         before, docs = docs, scratch.save(stage(spark, docs, sf_dir), name)
-        common.release_all(keep=scratch)
+        common.release_all(since=mark)  # scratch tables of this stage; those of results from before the run stay
         if before is not None and hasattr(before, "_codeloom_at"):
             scratch.drop(before)
     return docs
