@@ -148,3 +148,34 @@ def metadata_string(metadata: Column, key: str) -> Column:
 def node_size(score: Column, low: Column, high: Column) -> Column:
     """Drawing size from a score and the least and greatest one."""
     return F.when(high == low, F.lit(60)).otherwise(F.greatest(F.lit(80), F.floor(40 + F.sqrt((score - low) / (high - low)) * 120 + 0.5)))
+
+
+def route_match(method: Column, path: Column, routes: list[tuple[str, str]]) -> Column:
+    """(pattern, params) of the first route (method, pattern) that fits, else null. A ``:name`` part takes any one part of the path."""
+    parts, out = F.split(path, "/"), F.lit(None).cast("struct<pattern:string,params:map<string,string>>")
+    for m, pattern in reversed(routes):
+        want = pattern.split("/")
+        fits = (method == m) & (F.size(parts) == len(want))
+        for i, w in enumerate(want):
+            if not w.startswith(":"):
+                fits = fits & (F.get(parts, i) == w)
+        named = [(w[1:], F.get(parts, i)) for i, w in enumerate(want) if w.startswith(":")]
+        params = F.map_from_arrays(F.array(*[F.lit(k) for k, _ in named]).cast("array<string>"), F.array(*[v for _, v in named]).cast("array<string>"))
+        out = F.when(fits, F.struct(F.lit(pattern).alias("pattern"), params.alias("params"))).otherwise(out)
+    return out
+
+
+def json_row(*cols: Column) -> Column:
+    """One JSON object of some columns; nulls are kept."""
+    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+def success(data: Column) -> Column:
+    """An answer that carries a JSON text."""
+    return F.concat(F.lit('{"success":true,"data":'), F.coalesce(data, F.lit("null")), F.lit("}"))
+
+
+def failure(message: Column, code: Column | None = None, tool: Column | None = None) -> Column:
+    """An error with a code, ``INTERNAL`` if there is none, and a tool to use instead if there is one."""
+    named = F.coalesce(code, F.lit("INTERNAL")) if code is not None else F.lit("INTERNAL")
+    return F.to_json(F.struct(F.struct(named.alias("code"), message.alias("message"), (tool if tool is not None else F.lit(None).cast("string")).alias("suggestedTool")).alias("error")))

@@ -108,6 +108,22 @@ _CLEAN = "concat('<p>', id, '</p>d<a href=\"https://x.org/', pos, '\">l</a><a>m<
 _PATH = "concat(CASE pos % 6 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'a/dist/' ELSE 'src/' END, 'f', pos, CASE pos % 7 WHEN 0 THEN '.py' WHEN 1 THEN '.TSX' WHEN 2 THEN '.go' WHEN 3 THEN '.md' WHEN 4 THEN '.jsx' WHEN 5 THEN '.rs' ELSE '' END)"
 
 
+_ROUTES = [("GET", "/api/graphs"), ("GET", "/api/graphs/latest"), ("GET", "/api/graphs/:graphId"), ("DELETE", "/api/graphs/:graphId"), ("GET", "/api/graphs/:graphId/diff/:to")]
+_ASKED = "CASE pos % 6 WHEN 0 THEN '/api/graphs' WHEN 1 THEN '/api/graphs/latest' WHEN 2 THEN concat('/api/graphs/', id) WHEN 3 THEN concat('/api/graphs/', id, '/diff/c', pos) WHEN 4 THEN '/api/graphs/' ELSE '/api/other/x' END"
+
+
+def _routed(g: Graphs) -> DataFrame:
+    at = S.route_match(F.col("m"), F.col("p"), _ROUTES)
+    n = _with(g, m="CASE WHEN pos % 7 = 0 THEN 'DELETE' ELSE 'GET' END", p=_ASKED).select("id", at.alias("r"))
+    return n.select("id", F.col("r.pattern").alias("pattern"), F.element_at("r.params", "graphId").alias("graph_id"), F.element_at("r.params", "to").alias("to"))
+
+
+def _answers(g: Graphs) -> DataFrame:
+    row = S.json_row("id", "name", "type", "severity", F.col("pos").alias("at"))
+    error = S.failure(F.concat(F.lit("no "), "id"), F.when(F.col("pos") % 2 == 0, "NOT_FOUND"), F.when(F.col("pos") % 4 == 1, "find_nodes"))
+    return g.nodes.select("id", S.success(row).alias("answer"), error.alias("error"))
+
+
 def _with(g: Graphs, **exprs: str) -> DataFrame:
     return g.nodes.withColumns({k: F.expr(v) for k, v in exprs.items()})
 
@@ -138,5 +154,7 @@ def entries() -> list[tuple]:
         ("clean_version", lambda g: _with(g, v="concat(CASE pos % 4 WHEN 0 THEN '^' WHEN 1 THEN '~' WHEN 2 THEN '>=' ELSE '' END, pos, '.0')").select("id", S.clean_version(F.col("v")).alias("version")), "SELECT id, concat(CASE pos % 4 WHEN 2 THEN '>=' ELSE '' END, pos, '.0') AS version FROM n1", "n1"),
         ("mask_secret", lambda g: g.nodes.select("id", S.mask_secret(F.col("name")).alias("masked")), "SELECT id, concat('****', right(name, 4)) AS masked FROM n1", "n1"),
         ("source_files", lambda g: A.source_files(_with(g, path=_PATH).select("path")), "SELECT count(*) AS n_files FROM n1 WHERE pos % 6 > 1 AND pos % 7 IN (0, 1, 2, 4, 5)", "n1"),
+        ("route_match", _routed, "WITH q AS (SELECT id, pos, pos % 6 AS k, pos % 7 = 0 AS gone FROM n1) SELECT id, CASE WHEN gone THEN CASE WHEN k IN (1, 2, 4) THEN '/api/graphs/:graphId' END WHEN k = 0 THEN '/api/graphs' WHEN k = 1 THEN '/api/graphs/latest' WHEN k IN (2, 4) THEN '/api/graphs/:graphId' WHEN k = 3 THEN '/api/graphs/:graphId/diff/:to' END AS pattern, CASE WHEN k = 2 OR k = 3 AND NOT gone THEN id WHEN k = 4 THEN '' WHEN k = 1 AND gone THEN 'latest' END AS graph_id, CASE WHEN k = 3 AND NOT gone THEN 'c' || pos END AS \"to\" FROM q", "n1"),
+        ("json_answers", _answers, "SELECT id, '{\"success\":true,\"data\":' || CAST(to_json({'id': id, 'name': name, 'type': type, 'severity': severity, 'at': pos}) AS VARCHAR) || '}' AS answer, '{\"error\":{\"code\":\"' || CASE WHEN pos % 2 = 0 THEN 'NOT_FOUND' ELSE 'INTERNAL' END || '\",\"message\":\"no ' || id || '\"' || CASE WHEN pos % 4 = 1 THEN ',\"suggestedTool\":\"find_nodes\"' ELSE '' END || '}}' AS error FROM n1", "n1"),
         ("html_excerpt", lambda g: g.table("pages").select("page_id", S.strip_html(F.col("html")).alias("excerpt")), "SELECT page_id, concat(rtrim(substr(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 100)), '…') AS excerpt FROM pages"),
     ]
