@@ -327,7 +327,14 @@ def _modules(g: Graphs) -> DataFrame:
     return m.select("centre", "n_nodes", F.array_join("key_nodes", ",").alias("key_nodes"), F.array_join("directories", ",").alias("directories"))
 
 
-add("build_modules", _modules)
+# clusters part the nodes, so two seeds' clusters are one or disjoint: a module for each, named after its first seed
+_MODULES = f"""{_CLUSTERS}, t AS (SELECT id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, pos) AS k FROM n1 QUALIFY k <= 8),
+m AS (SELECT l5.c, arg_min(t.id, t.k) AS centre FROM t JOIN l5 USING (id) GROUP BY l5.c), i AS (SELECT m.centre, n1.* FROM m JOIN l5 USING (c) JOIN n1 ON n1.id = l5.id),
+b AS (SELECT centre, string_agg(id, ',' ORDER BY r) AS key_nodes FROM (SELECT centre, id, row_number() OVER (PARTITION BY centre ORDER BY coalesce(score, 0) DESC, pos) AS r FROM i) WHERE r <= 10 GROUP BY centre),
+w AS (SELECT centre, CASE WHEN contains(file_path, '/') THEN coalesce(nullif(regexp_replace(file_path, '/[^/]*$', ''), ''), '/') ELSE '/' END AS d, min(pos) AS p FROM i GROUP BY ALL),
+f AS (SELECT centre, string_agg(d, ',' ORDER BY r) AS directories FROM (SELECT *, row_number() OVER (PARTITION BY centre ORDER BY p, d) AS r FROM w) WHERE r <= 5 GROUP BY centre)
+SELECT centre, n_nodes, key_nodes, directories FROM (SELECT centre, count(*) AS n_nodes FROM i GROUP BY centre) JOIN b USING (centre) JOIN f USING (centre)"""
+add("build_modules", _modules, _MODULES, "n1", "e1")
 _ASK = "Which widget touches brand#11 economy orders?"
 _KW = " + ".join(f"CASE WHEN contains(lower(coalesce({c}, '')), '{t}') THEN {w} ELSE 0 END" for t in S.query_tokens(_ASK) for c, w in (("name", 3), ("file_path", 2), ("business_summary", 1)))
 _HITS = f"SELECT id, score, pos, kw, kw * 0.6 + score * 0.4 AS f FROM (SELECT *, {_KW} AS kw FROM n1) WHERE kw > 0"
