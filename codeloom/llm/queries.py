@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, minhash, packing, quality, sharding, suffix, tokens, toxicity, urls
+from . import decontaminate, lm, minhash, oracles, packing, quality, sharding, suffix, tokens, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,5 +58,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """DuckDB SQL, where it can express the operator over whole tables."""
-    return {}
+    """DuckDB SQL, where it can express the operator over whole tables. The others draw at random, learn, or run a tokenizer."""
+    return {"op2_minhash_dedup": oracles.NEAR_DUPLICATES, "op5_decontamination": oracles.CONTAMINATED, "op10_suffix_dedup": oracles.REPEATS}
