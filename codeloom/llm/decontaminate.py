@@ -79,10 +79,9 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: fl
     keys = scratch.save(sample.select("d_item", F.ceil(F.lit(threshold) * F.col("d_n")).cast("long").alias("d_need"), F.explode("d_keys").alias("d_key")), "keys")
     n_keys = keys.count()
     dt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("d_text"))
-    dt = dt.withColumn("d_dwords", words("d_text"))
     # Two steps: what stands beside explode() is carried by each of its rows, so only narrow columns may. explode_outer, as
     # the filter that Spark infers for explode() would build every set a second time; its null rows join nothing.
-    sets = _with_hashes(dt, "d_dwords").select("doc_id", F.xxhash64("d_text").alias("d_t"), F.size("d_set").alias("d_dn"), "d_set")
+    sets = _with_hashes(dt.withColumn("d_dwords", words("d_text")), "d_dwords").select("doc_id", F.xxhash64("d_text").alias("d_t"), F.size("d_set").alias("d_dn"), "d_set")
     sets = sets.select("doc_id", "d_t", "d_dn", F.explode_outer("d_set").alias("d_key"))
     hits = sets.join(common.small(keys, n_keys, 48), "d_key").where(F.col("d_dn") >= F.col("d_need")).select("doc_id", "d_t", "d_item").distinct()
     hits = scratch.save(hits, "candidates")
@@ -91,6 +90,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = 0.75, miss: fl
     wanted = hits.groupBy("doc_id", "d_t").agg(F.count("*").alias("d_c")).drop("d_c").withColumnRenamed("doc_id", "d_wid").withColumnRenamed("d_t", "d_wt")
     wanted = common.small(wanted, n_hit, 32)
     found = dt.withColumn("d_t", F.xxhash64("d_text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_wid")) & (F.col("d_t") == F.col("d_wt")), "left_semi")
+    found = found.withColumn("d_dwords", words("d_text"))  # only candidates are split again
     found = found.select("doc_id", "d_t", F.explode_outer(shingles("d_dwords")).alias("d_s"))
     item_s = it.select("d_item", "item_id", "d_n", F.explode(shingles("d_words")).alias("d_s"))
     # a word stands in five shingles at most; a row has some fixed bytes besides
