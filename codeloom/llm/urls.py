@@ -45,24 +45,42 @@ def _entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(runs, F.lit(0.0), lambda a, p: a - p * F.log2(p))).otherwise(F.lit(0.0))
 
 
-def features(url: Column, host: Column, path: Column, suffixes: dict[str, float]) -> dict[str, Column]:
-    """Lexical features only. ``suffixes``: smoothed share of blocked URLs per last host label, from the training URLs."""
+def endings(host: Column, path: Column) -> dict[str, Column]:
+    """What a URL has statistics for: its last host label and the first part of its path, if others follow."""
+    return {"suffix": F.substring_index(host, ".", -1), "section": F.regexp_extract(path, r"^/([^/]*)/", 1)}
+
+
+def features(url: Column, host: Column, path: Column, shares: dict[str, dict[str, float]]) -> dict[str, Column]:
+    """Lexical features only. ``shares``: for each kind of ending, smoothed shares of blocked URLs among the training URLs; "" stands for unseen ones."""
     u = F.coalesce(url, F.lit(""))
     n = F.char_length(u)
     query = F.regexp_extract(u, r"(?s)\?([^#]*)", 1)
-    last = F.substring_index(host, ".", -1)
-    suffix = F.lit(suffixes.get("", 0.5))
-    for s in sorted(suffixes):
-        if s:
-            suffix = F.when(last == s, suffixes[s]).otherwise(suffix)
+    known = {}
+    for kind, key in endings(host, path).items():
+        held = shares.get(kind, {})
+        unseen = F.lit(held.get("", 0.5))
+        pairs = [F.lit(x) for s in sorted(held) if s for x in (s, held[s])]
+        known[kind] = F.coalesce(F.element_at(F.create_map(*pairs), key), unseen) if pairs else unseen
     count = lambda c, what: (F.char_length(c) - F.char_length(F.regexp_replace(c, what, ""))).cast("double")
     return {
         "length": n.cast("double"), "host_length": F.char_length(host).cast("double"), "path_length": F.char_length(path).cast("double"), "depth": count(path, "/"), "labels": count(host, r"\."),
         "digit_ratio": count(u, "[^0-9]") * -1 / F.greatest(n, F.lit(1)) + n / F.greatest(n, F.lit(1)), "entropy": F.round(_entropy(host), 6), "parameters": F.when(query == "", 0.0).otherwise(count(query, "&") + 1),
-        "fragment": F.contains(u, F.lit("#")).cast("double"), "hyphens": count(host, "-"), "trailing_slash": path.endswith("/").cast("double"), "secure": u.startswith("https").cast("double"), "suffix": suffix,
+        "fragment": F.contains(u, F.lit("#")).cast("double"), "hyphens": count(host, "-"), "trailing_slash": path.endswith("/").cast("double"), "secure": u.startswith("https").cast("double"), **known,
     }
 
 
+def shares_of(seen: list[tuple[dict[str, str], float]], least: int = 20, weight: float = 5.0) -> dict[str, dict[str, float]]:
+    """The shares for ``features`` from (endings, label) of the training URLs: smoothed towards the base rate, and that of all for endings seen less than ``least`` times."""
+    base = (sum(y for _, y in seen) + 1) / (len(seen) + 2)
+    out: dict[str, dict[str, float]] = {}
+    for kind in seen[0][0] if seen else ():
+        by: dict[str, list[float]] = {}
+        for ends, y in seen:
+            by.setdefault(ends[kind], []).append(y)
+        out[kind] = {s: round((sum(v) + weight * base) / (len(v) + weight), 6) for s, v in by.items() if s and len(v) >= least} | {"": base}
+    return out
+
+
 @dataclass
 class Tree:
     """A node: a split (feature < cut goes left) or a leaf value."""
@@ -143,22 +161,17 @@ def judge(pages: DataFrame, rules=RULES, max_train: int = 20_000, trees: int = 2
     # distinct labelled URLs with the smallest hashes: an even sample whose size is a parameter, kept as a top-k
     labelled = t.where(F.col("rule").isNotNull()).select("u_url", "host", "path", (F.col("u_rule_verdict") == "block").cast("double").alias("u_y")).distinct()
     labelled = labelled.orderBy(F.xxhash64("u_url"), "u_url").limit(max_train)
-    last = F.substring_index("host", ".", -1)
+    ends = endings(F.col("host"), F.col("path"))
     cols = features(F.col("u_url"), F.col("host"), F.col("path"), {})
     names = [*cols]
-    got = labelled.select(*[c.alias(k) for k, c in cols.items()], last.alias("u_last"), "u_y").collect()
+    got = labelled.select(*[c.alias(k) for k, c in cols.items()], *[c.alias(f"u_e_{k}") for k, c in ends.items()], "u_y").collect()
     y = np.array([r["u_y"] for r in got])
-    # suffix statistics, smoothed towards the base rate; suffixes seen fewer than 20 times are as unseen ones
-    base = float((y.sum() + 1) / (len(y) + 2)) if len(y) else 0.5
-    seen: dict[str, list[float]] = {}
-    for r in got:
-        seen.setdefault(r["u_last"], []).append(r["u_y"])
-    suffixes = {"": base} | {s: round((sum(v) + 5 * base) / (len(v) + 5), 6) for s, v in seen.items() if len(v) >= 20}
+    shares = shares_of([({k: r[f"u_e_{k}"] for k in ends}, r["u_y"]) for r in got])
     x = np.array([[r[k] for k in names] for r in got], dtype=float).reshape(len(got), len(names))
-    if len(got):
-        x[:, names.index("suffix")] = [suffixes.get(r["u_last"], base) for r in got]
+    for k in ends if len(got) else ():
+        x[:, names.index(k)] = [shares[k].get(r[f"u_e_{k}"], shares[k][""]) for r in got]
     start, grown = boost(names, x, y, trees, depth)
-    feats = features(F.col("u_url"), F.col("host"), F.col("path"), suffixes)
+    feats = features(F.col("u_url"), F.col("host"), F.col("path"), shares)
     t = t.withColumns({f"u_f_{k}": c for k, c in feats.items()})
     held = {k: F.col(f"u_f_{k}") for k in feats}
     total = F.lit(start)

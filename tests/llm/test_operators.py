@@ -434,7 +434,7 @@ def test_trees_score_alike_as_columns_and_in_numpy(spark):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls_)], "page_id long, u_url string")
     host, path = urls.host_and_path(F.col("u_url"))
     df = df.withColumn("host", host).withColumn("path", path)
-    cols = urls.features(F.col("u_url"), F.col("host"), F.col("path"), {"": 0.5, "org": 0.2, "com": 0.8})
+    cols = urls.features(F.col("u_url"), F.col("host"), F.col("path"), {"suffix": {"": 0.5, "org": 0.2, "com": 0.8}, "section": {"d": 0.7}})
     df = df.select("page_id", *[c.alias(k) for k, c in cols.items()])
     rows = df.orderBy("page_id").collect()
     x = np.array([[row[k] for k in cols] for row in rows], dtype=float)
@@ -450,6 +450,30 @@ def test_trees_score_alike_as_columns_and_in_numpy(spark):
     assert long[[*cols].index("length")] == len(urls_[3]) and long[[*cols].index("parameters")] == 4001 and long[[*cols].index("depth")] == 5001
 
 
+def test_trees_judge_labelled_urls_that_they_were_not_trained_on():
+    pages = "/root/testdata/sf0.01/pages.parquet"
+    import duckdb
+
+    def parts(u):
+        host, path = re.match(r"[^:]*://([^/?#]*)([^?#]*)", u).groups()
+        return host.lower(), path
+
+    rows = []
+    for (u,) in duckdb.sql(f"SELECT DISTINCT url FROM '{pages}' WHERE contains(url, '://') ORDER BY 1").fetchall():
+        host, path = parts(u)
+        fits = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        if fits:
+            ends = {"suffix": host.split(".")[-1], "section": (re.match(r"/([^/]*)/", path) or [None, ""])[1]}
+            rows.append((ends, float(max(fits)[1] == "block"), len(u), path.count("/"), sum(c.isdigit() for c in u) / len(u)))
+    train, held = rows[::2], rows[1::2]
+    shares = urls.shares_of([r[:2] for r in train], least=5)
+    table = lambda rs: np.array([[*r[2:], *(shares[k].get(r[0][k], shares[k][""]) for k in ("suffix", "section"))] for r in rs])
+    names = ["length", "depth", "digits", "suffix", "section"]
+    base, trees = urls.boost(names, table(train), np.array([r[1] for r in train]), least=3)
+    right = np.mean([(s > 0) == (r[1] > 0) for s, r in zip(base + sum(t.predict(names, table(held)) for t in trees), held)])
+    assert len(held) > 40 and right > 0.9
+
+
 def test_matching_is_that_of_a_naive_search():
     r = random.Random(14)
     for _ in range(300):
