@@ -33,7 +33,7 @@ from . import common
 WINDOW, PASSAGE = 400, 200
 #: Bytes that a window can hold before its anchor.
 SIDE = 100
-HOT, BATCH = 65_536, 16_000
+HOT, BATCH, TASKS = 65_536, 16_000, 100_000
 CHUNK = 1 << 20
 _U = np.uint64
 # Odd multipliers of the two rolling hashes.
@@ -218,11 +218,11 @@ def _contexts_repeated(ctx: DataFrame, window: int, passage: int, scratch: commo
         return pa.table([table.column("s_t").take(pa.array(i)), *[pa.array(x.astype(np.int32)) for x in (a, b, kind)]], names=["s_t", "s_a", "s_b", "s_kind"])
 
     cold = ctx.where(F.col("s_k") <= HOT)
-    # The number of tasks follows the number of contexts, so that no task gets more as the input grows. An anchor
-    # that would fill half a batch has one of its own.
+    # A task for each batch, up to as many tasks as a driver can run; past that a task builds several, one after another. An
+    # anchor that would fill half a batch has one of its own.
     n_batches = max(1, -(-cold.count() // BATCH))
     batch = F.when(F.col("s_k") > BATCH // 2, F.col("s_h")).otherwise(F.pmod(F.xxhash64("s_h"), F.lit(n_batches)))
-    found = cold.withColumn("s_batch", batch).repartition(n_batches, "s_batch").groupBy("s_batch").applyInArrow(build, _RANGES)
+    found = cold.withColumn("s_batch", batch).repartition(min(n_batches, TASKS), "s_batch").groupBy("s_batch").applyInArrow(build, _RANGES)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -636,3 +636,32 @@ def test_lm_words_of_a_bucket_share_it_whole(spark):
             by[s] += np.exp(x["l_share"] / times(x["doc_id"]))
             seen.add(round(x["l_share"] / times(x["doc_id"]), 6))
     assert by and all(abs(v - 1) < 1e-6 for v in by.values()) and len(seen) >= 2
+
+
+def test_very_long_texts_in_every_operator(spark):
+    """A text of a million characters, a near copy of it with a benchmark item inside, and a short one."""
+    r = random.Random(30)
+    words = ["".join(r.choice("abcdefghijé") for _ in range(r.randint(1, 9))) for _ in range(30_000)]
+    many = r.choices(words, k=170_000)
+    item = [f"item{i}" for i in range(40)]
+    long, near = " ".join(many), " ".join([*many[:1000], *item, *many[1010:]])
+    assert len(long) > 950_000
+    rows = [(1, long), (2, near), (3, "short text")]
+    docs = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "doc_id long, text string, n_tokens string, kept string")
+    sets = {i: shingles(t) for i, t in rows}
+    got = {x["doc_id"]: x for x in minhash.near_duplicates(docs).collect()}
+    assert {i: x["n_shingles"] for i, x in got.items()} == {i: len(s) for i, s in sets.items()} and [got[i]["component_id"] for i in (1, 2, 3)] == [1, 1, 3]
+    ids = dict(zip((1, 2, 3), _ids([t for _, t in rows])))
+    assert {x["doc_id"]: x["n_tokens"] for x in tokens.token_counts(docs).collect()} == {i: len(v) for i, v in ids.items()}
+    held = collections.defaultdict(list)
+    for p in packing.pack(docs).collect():
+        assert zlib.crc32(np.array(ids[p["doc_id"]] + [1], "<u4")[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"]
+        held[p["doc_id"]] += [*range(p["start"], p["start"] + p["length"])]
+    assert all(sorted(held[i]) == [*range(len(v) + 1)] for i, v in ids.items())
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(x)[:4] for x in decontaminate.contaminated(docs, bench).collect()] == [(2, 7, 36, 36)]
+    assert {x["doc_id"]: tuple(x)[1:7] for x in quality.quality(docs).collect()} == {i: _base(t) for i, t in rows}
+    assert {x["doc_id"]: x["size"] for x in sharding.shard(docs, least_blocks=2).collect()} == {i: len(t.encode()) + 1 for i, t in rows}
+    at = near.encode().index(b"item0")
+    gone = {x["doc_id"]: x["n_removed"] for x in suffix.remove_repeats(docs).collect()}
+    assert gone[3] == 0 and gone[1] > 0.99 * len(long.encode()) and gone[2] == len(near.encode()) - len(" ".join(item).encode()) and at
