@@ -594,6 +594,45 @@ def test_lm_probabilities_of_all_words_add_up_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_lm_remembers_what_the_rest_of_the_corpus_says(spark):
+    import xxhash
+
+    r = random.Random(31)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 250))) for _ in range(60)]
+    once = [" ".join(f"u{i}x{k}" for k in range(300)) for i in range(10)]
+    rows = [(i, t) for i, t in enumerate(texts + once)] + [(100 + k, once[k]) for k in range(5)] + [(200, "a b"), (201, "  "), (202, None), (None, " x ".join(once[9].split()[:2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x for x in lm.score(docs).collect()}
+    held = collections.defaultdict(lambda: (0, 0))
+    two, three, each = collections.Counter(), collections.Counter(), collections.defaultdict(list)
+    for i, t in rows:
+        ws = (t or "").split()
+        place, *_ = lm.contexts(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in ws], np.uint64))
+        for k in place:
+            c = ws[k - 1], ws[k + 1]
+            two[c] += 1
+            three[c, ws[k]] += 1
+            each[i].append((k, c, ws[k]))
+    for i, found in each.items():
+        held[i] = len(found), sum(three[c, w] > 1 for _, c, w in found)
+    assert {i: (x["n_contexts"], x["n_remembered"]) for i, x in got.items()} == {i: held[i] for i, _ in rows}
+    assert 60 < sum(n for n, _ in held.values()) and all(got[60 + k]["n_remembered"] == got[60 + k]["n_contexts"] > 5 for k in range(5)) and not any(got[60 + k]["n_remembered"] for k in range(5, 9))
+    # documents that occur twice score apart, and each score is the network's with the remembered shares mixed in
+    assert min(got[60 + k]["mean_logprob"] for k in range(5)) > max(got[60 + k]["mean_logprob"] for k in range(5, 9)) + 0.1
+    coded, model = lm.fitted(docs, Scratch(spark, "test"))
+    for x in coded.collect():
+        s = np.frombuffer(x["l_s"], np.int16)
+        total = lm.log_probabilities(model, [s])[0] + x["l_share"]
+        log, _ = lm.token_log_probabilities(model, [s])
+        own = dict(zip(x["l_at"], x["l_own"]))
+        for k, c, w in each[x["doc_id"]]:
+            if two[c] > 1:
+                p = np.exp(log[k] + own[k])
+                total += np.log(0.7 * p + 0.3 * (three[c, w] - 1) / (two[c] - 1)) - np.log(p)
+        assert abs(total - got[x["doc_id"]]["sum_logprob"]) < 1e-2 + 1e-4 * abs(total), x["doc_id"]
+
+
 def _loss(p, docs):
     return -lm.log_probabilities(p, docs).sum() / sum(map(len, docs))
 
