@@ -151,7 +151,7 @@ def _twice(df: DataFrame) -> DataFrame:
 add("dedup_nodes", lambda g: store.dedup_nodes(_twice(g.nodes)).select("id", "pos", "type"), "SELECT id, pos, type FROM n1", "n1")
 add("dedup_edges", lambda g: store.dedup_edges(_twice(g.edges)).select("src", "dst", "type", F.col("pos").cast("long").alias("pos")), "SELECT src, dst, type, pos FROM e1", "e1")
 add("resolve_routes", lambda g: store.resolve_routes(g.nodes.where("type = 'ROUTE'").select(F.col("id").alias("route"), "file_path", F.col("name").alias("handler_name")), g.nodes).select("route", "handler_id"), "SELECT r.id AS route, (SELECT arg_max(h.id, h.pos) FROM n1 h WHERE h.file_path = r.file_path AND h.name = r.name) AS handler_id FROM n1 r WHERE r.type = 'ROUTE'", "n1")
-add("node_code", lambda g: store.node_code(g.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("raw_code"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line")), g.table("documents").groupBy(F.col("source").alias("file_path")).agg(F.min_by("text", "doc_id").alias("text"))), "WITH f AS (SELECT source, arg_min(text, doc_id) AS text FROM documents WHERE doc_id < 20 GROUP BY source) SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE array_to_string(list_slice(string_split(f.text, chr(10)), 2, 3), chr(10)) END AS code, CASE WHEN doc_id % 2 = 0 THEN 'graph' ELSE 'disk' END AS source FROM documents d LEFT JOIN f ON d.source = f.source")
+add("node_code", lambda g: store.node_code(g.table("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_path"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("raw_code"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line")), g.table("documents").groupBy(F.col("source").alias("file_path")).agg(F.min_by("text", "doc_id").alias("text"))), "WITH f AS (SELECT source, arg_min(text, doc_id) AS text FROM documents GROUP BY source) SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE array_to_string(list_slice(string_split(f.text, chr(10)), 2, 3), chr(10)) END AS code, CASE WHEN doc_id % 2 = 0 THEN 'graph' ELSE 'disk' END AS source FROM documents d LEFT JOIN f ON d.source = f.source")
 add("analyze_stats", lambda g: g.nodes.agg(F.count("*").alias("n_nodes"), F.count_if(F.col("type") == "ROUTE").alias("n_routes")).crossJoin(F.broadcast(g.edges.agg(F.count("*").alias("n_edges")))), "SELECT count(*) AS n_nodes, count(*) FILTER (type = 'ROUTE') AS n_routes, (SELECT count(*) FROM e1) AS n_edges FROM n1", "n1", "e1")
 add("repo_overview", lambda g: A.file_rollup(g.nodes).orderBy(F.col("score").desc(), "file_path").limit(10).select("file_path", "n", "score"), "SELECT file_path, count(*) AS n, sum(score) AS score FROM n1 GROUP BY file_path ORDER BY score DESC, file_path LIMIT 10", "n1")
 
@@ -349,7 +349,7 @@ _ASKED_SEEDS = {
 }
 for _i, _seeds in _ASKED_SEEDS.items():
     add(f"ctx_{_i}", lambda g, i=_i: X.context(g.nodes, g.edges, _ASK, i, focus=SEED if i == "impact" else None), context_sql.context(_seeds, _i), "n1", "e1")
-_ITEMS = "WITH i AS (SELECT doc_id AS ord, n_chars AS cost FROM documents WHERE doc_id < 40)"
+_ITEMS = "WITH i AS (SELECT doc_id AS ord, n_chars AS cost FROM documents)"
 add("fit_to_budget", lambda g: X.fit_to_budget(g.table("documents").select(F.col("doc_id").alias("ord"), F.col("n_chars").alias("cost")), 20_000), _ITEMS + " SELECT ord, cost, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(cost) OVER (ORDER BY ord) AS used FROM i) WHERE used <= 20000")
 
 # -- jobs and events --------------------------------------------------------------------------------------------------
