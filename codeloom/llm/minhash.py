@@ -198,13 +198,18 @@ def _prefixes(texts: DataFrame, of: DataFrame, percent: int, scratch: common.Scr
     pre = scratch.save(pre.select("doc_id", "m_comp", "m_n", "m_short", "m_p", F.col("m_e.m_s").alias("m_s")), "prefixes")
     mixed = pre.groupBy("m_s").agg(F.min("m_comp").alias("lo"), F.max("m_comp").alias("hi")).where("lo < hi").select("m_s")
     pre = pre.join(mixed, "m_s")
-    x, y = pre.alias("x"), pre.where(F.col("m_p") < F.col("m_short")).alias("y")  # y: the shorter one
+    # The place of a shared shingle bounds the partner's size too: a longer set with p shingles before it looks for sizes from t n to (n - p) (1 + t) / t - n
+    # only. Sizes are joined by classes, so sets of one family that share a late shingle do not meet at all.
+    size = lambda n: F.floor(F.log(n.cast("double")) / F.lit(math.log(1.05))).cast("int")
+    least, greatest = F.ceil(F.lit(t) * F.col("m_n") - 1e-9), F.least(F.col("m_n"), F.floor((F.col("m_n") - F.col("m_p")) * F.lit((1 + t) / t) - F.col("m_n") + 1e-6))
+    x = pre.where(least <= greatest).withColumn("m_class", F.explode(F.sequence(size(least), size(greatest)))).alias("x")
+    y = pre.where(F.col("m_p") < F.col("m_short")).withColumn("m_class", size(F.col("m_n"))).alias("y")  # the shorter one
     c = lambda s: F.col(s)
     need = F.lit(t / (1 + t)) * (c("x.m_n") + c("y.m_n")) - 1e-9
     fits = (c("x.m_comp") != c("y.m_comp")) & ((c("y.m_n") < c("x.m_n")) | ((c("y.m_n") == c("x.m_n")) & (c("y.doc_id") < c("x.doc_id")))) & (c("y.m_n") >= t * c("x.m_n") - 1e-9)
     # at the first shared shingle, what follows bounds the overlap; a pair that reaches the threshold has it in both prefixes
     fits = fits & (F.least(c("x.m_n") - c("x.m_p"), c("y.m_n") - c("y.m_p")) >= need)
-    return x.join(y, (c("x.m_s") == c("y.m_s")) & fits).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    return x.join(y, (c("x.m_s") == c("y.m_s")) & (c("x.m_class") == c("y.m_class")) & fits).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
