@@ -130,7 +130,7 @@ def cut(data: bytes, runs: list[tuple[int, int]], whole: bool = False) -> bytes:
 
 
 def _texts(docs: DataFrame, passage: int, scratch: common.Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows: s_id, s_k, s_k2, s_n, s_sha of each row; texts: s_t, s_k, s_k2, s_n, s_twice, s_sha, s_z of each different text that holds a passage).
+    """(packed: s_id, s_k, s_k2, s_n, s_sha, s_z of each row; texts: s_t, s_k, s_k2, s_n, s_twice, s_sha, s_z of each different text that holds a passage).
 
     Texts are told apart by 128 bits of hash and their length. They move packed (``s_z``) from here on.
     """
@@ -150,7 +150,7 @@ def _texts(docs: DataFrame, passage: int, scratch: common.Scratch) -> tuple[Data
     packed = scratch.save(t.mapInArrow(common.worker("suffix", run), "s_id long, s_k long, s_k2 long, s_n long, s_sha string, s_z binary"), "packed")
     once = packed.where(F.col("s_n") >= passage).groupBy("s_k", "s_k2", "s_n").agg(F.first("s_z").alias("s_z"), F.first("s_sha").alias("s_sha"), F.count("*").alias("s_c"))
     texts = once.select(F.monotonically_increasing_id().alias("s_t"), "s_k", "s_k2", "s_n", (F.col("s_c") > 1).alias("s_twice"), "s_sha", "s_z")
-    return packed.drop("s_z"), scratch.save(texts, "texts")
+    return packed, scratch.save(texts, "texts")
 
 
 def _slices(b: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -321,7 +321,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, passage: int = PASSAGE
     """
     common.ship(docs.sparkSession)
     scratch = common.Scratch(docs.sparkSession, "suffix")
-    rows, texts = _texts(docs, passage, scratch)
+    packed, texts = _texts(docs, passage, scratch)
+    rows = scratch.save(packed.drop("s_z"), "rows")  # narrow; the packed texts of all rows are not needed any more
+    scratch.drop(packed)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from codeloom.llm import suffix as m
@@ -355,7 +357,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     common.ship(docs.sparkSession)
     scratch = common.Scratch(docs.sparkSession, "suffix")
-    _, texts = _texts(docs, window, scratch)
+    packed, texts = _texts(docs, window, scratch)
+    scratch.drop(packed)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from codeloom.llm import suffix as m

@@ -109,6 +109,21 @@ def test_prefix_filter_finds_what_all_pairs_do(spark):
     assert want and want <= got and len(got) < 60 * 59 / 2
 
 
+def test_prefix_filter_over_sets_of_many_sizes(spark):
+    import zstandard
+
+    r = random.Random(6)
+    boiler = [f"b{i}" for i in range(400)]
+    texts = {i: " ".join(boiler[r.randint(0, 60) : r.randint(70, 400)] + [f"u{r.randint(0, 30)}x{k}" for k in range(r.randint(0, 40))]) for i in range(70)} | {1000 + i: " ".join(f"s{k}" for k in range(5 + i % 3)) for i in range(6)}
+    z = spark.createDataFrame([(i, bytearray(zstandard.compress(t.encode()))) for i, t in texts.items()], "doc_id long, m_z binary")
+    of = spark.createDataFrame([(i, i) for i in texts], "doc_id long, m_comp long")
+    for percent in (50, 75, 90):
+        got = {tuple(x) for x in minhash._prefixes(z, of, percent, Scratch(spark, "test")).collect()}
+        s = {i: shingles(t) for i, t in texts.items()}
+        want = {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])}
+        assert want and want <= got
+
+
 def test_estimate_is_corrected():
     a = [minhash.registers(minhash.shingle_set(" ".join(f"w{k}" for k in range(s, s + 500)))) for s in (0, 60)]
     n = np.array([496.0])
