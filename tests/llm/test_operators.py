@@ -623,7 +623,7 @@ def test_lm_remembers_what_the_rest_of_the_corpus_says(spark):
     two, three, each = collections.Counter(), collections.Counter(), collections.defaultdict(list)
     for i, t in rows:
         ws = (t or "").split()
-        place, *_ = lm.contexts(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in ws], np.uint64))
+        place, *_ = lm.contexts(np.array([xxhash.xxh3_64_intdigest(w.encode()) for w in ws], np.uint64), np.zeros(len(ws)))
         for k in place:
             c = ws[k - 1], ws[k + 1]
             two[c] += 1
