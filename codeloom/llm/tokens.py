@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Entries that a worker's cache holds before it starts anew: bounds memory, never results.
-CACHE = 150_000
+CACHE = 100_000
 #: Bytes of text that are encoded together: bounds a task's working memory, never results.
-POOL = 8 << 20
+POOL = 5 << 20
 _state: dict = {}
 common.caches("tokens", _state.clear)
 
@@ -162,12 +162,12 @@ class IdCache(dict):
 
     def __init__(self, path: str):
         super().__init__({"": b""})
-        self.tok, self.merger, self.old = load(path), Merger(path), {}
+        self.path, self.merger, self.old = path, Merger(path), {}
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
-        if got is None:
-            got = np.array(self.tok.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if got is None:  # the library is loaded where a chunk needs it
+            got = np.array(load(self.path).encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[chunk] = got
         return got
 
@@ -202,14 +202,15 @@ class IdCache(dict):
         held = list(map(self.__getitem__, different))
         n = np.fromiter(map(len, held), np.int32, len(held)) // 4
         ids, per = np.frombuffer(b"".join(held), "<u4"), n[which]
-        ends = np.cumsum(per)  # 64 bits
+        ends = np.cumsum(per, dtype=np.int32)  # a pool is small
         # every chunk's ids, one after another: a run of places in ``ids`` for each
-        starts = np.cumsum(n) - n
-        place = np.repeat((starts[which] - (ends - per)).astype(np.int32), per)
+        place = np.repeat((np.cumsum(n, dtype=np.int32) - n)[which] - (ends - per), per)
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])].tolist()
+        del which, different, held, coded, per, ends
         place += np.arange(len(place), dtype=np.int32)
-        data = ids[place].tobytes()
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy())])] * 4
-        return [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        ids = ids[place]
+        del place
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
 
 class CountCache(dict):
