@@ -96,6 +96,20 @@ def worker(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterato
     return whole
 
 
+def forget(spark: SparkSession) -> None:
+    """Delete the shuffle files of tables that nothing refers to any more; Spark does so when the driver collects its garbage.
+
+    Twice, as Spark's own listeners refer to a plan until they have heard of its end. Only disk depends on it.
+    """
+    import gc
+    import time
+
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share, as the cluster names it; our own only on a local master (tests).
 

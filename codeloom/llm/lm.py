@@ -9,9 +9,13 @@ Symbols are the 960 most frequent words, in classes of equal rank, and 64 bucket
 bytes), which says more about a word's neighbours than a hash would. Words of a bucket share it by their counts: ``vocabulary`` words
 are known by name, a number that grows with the corpus (eight times the root of its tokens), and the others of a bucket share what is left evenly.
 
-The corpus is also remembered as such, beyond what so small a network holds: for one in ``ONE_IN`` contexts (a word before and a word after, chosen by
-their hash), how often each word stood between them. Where a context occurs more than once, the network's probability is mixed with the share of
-the word among the other occurrences. A document's own occurrence never counts, so only what the rest of the corpus says twice is remembered.
+The corpus is also remembered as such, beyond what so small a network holds: for every context (a word before and a word after), how often each
+word stood between them. Where a context occurs more than once, the network's probability is mixed with the share of the word among the other
+occurrences. The occurrence that is scored never counts, so only what the corpus says twice is remembered.
+
+Texts are kept in pools, each with the different words in it. A pool sends each different context, and each different context with its word, once
+with its count, as runs of sorted 64-bit hashes; ranges of hashes are counted, and each pool gets its totals back in the order in which it sent
+them. So no context, however frequent, has more than one entry a pool, and texts move once.
 
 The network is numpy: embeddings, a tanh layer over the window and the two softmaxes. It is trained on every document (``passes`` times, once by default): in each of a few rounds,
 every task trains a copy on its share of that round's documents from the same start, and copies are averaged by their number of
@@ -40,8 +44,10 @@ PAD = SYMBOLS
 SPAN = 2 * SIDE + 1
 #: Tokens in a row that are taken together in training, and such runs in a batch.
 RUN, RUNS = 64, 64
-#: One in so many contexts is remembered; weight of what is remembered.
-ONE_IN, RECALL = 32, 0.3
+#: Weight of what is remembered.
+RECALL = 0.3
+#: Bytes of text in a pool, tokens whose contexts one range of hashes holds: bound a task's working memory, never results.
+POOL, RANGE = 8 << 20, 2_000_000
 _SHAPES = {"E": (SYMBOLS + 1, EMBED), "W": (SPAN, EMBED, HIDDEN), "b": (HIDDEN,), "C": (HIDDEN, CLASSES), "c": (CLASSES,), "V": (CLASSES, HIDDEN, MEMBERS), "v": (CLASSES, MEMBERS)}
 
 
@@ -74,41 +80,107 @@ class Symbols(dict):
         s = self[w] = (b, float(self.rest[b - FREQUENT]))
         return s
 
-    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
-        """All texts' symbols, the end of each text among them, the summed log shares of its words in their symbols, and the contexts.
-
-        Contexts: the end of each text among them, their places, hashes (see ``contexts``) and the log shares of their words.
-        """
+    def pool(self, ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
+        """One row of ``_POOLED``: all texts in the different words among them."""
         import xxhash
 
         which, different, ends = split(texts)
         pairs = [self[w] if w else (-1, 0.0) for w in different]
-        symbol = np.array([x for x, _ in pairs], np.int16)[which] if pairs else np.zeros(0, np.int16)
-        real = symbol >= 0  # empty words are none
-        which = which[real]
-        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))[real]
-        share = np.array([x for _, x in pairs], float)[which] if pairs else np.zeros(0)
-        name = np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in different], np.uint64)[which] if pairs else np.zeros(0, np.uint64)
-        ends = np.cumsum(np.bincount(text, minlength=len(ends)))
-        at, two, three = contexts(name, text)
-        of = text[at]
-        place = (at - np.concatenate([[0], ends])[of]).astype(np.int32)
-        return symbol[real], ends, np.bincount(text, share, len(ends)), (np.cumsum(np.bincount(of, minlength=len(ends))), place, two, three, share[at].astype(np.float32))
+        symbol, own = np.array([x for x, _ in pairs], np.int16), np.array([x for _, x in pairs], float)
+        name = np.array([xxhash.xxh3_64_intdigest(w) for w in different], np.uint64)
+        real = (symbol >= 0)[which]  # empty words are none
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        which = which[real].astype(np.int32)
+        shares, of = np.unique(own, return_inverse=True)  # few: words of a count, or of a bucket, have the same
+        row = [ids, ends, len(which), len(different), *map(packed, (which, symbol, name)), shares, packed(of.astype(np.int32))]
+        return [pa.array([x.to_pylist() if isinstance(x, pa.Array) else x], t.type) for x, t in zip(row, _POOLED)]
+
+
+#: Columns of a pool: doc_ids, ends of the texts, how many tokens and different words; (packed) words of the tokens, symbols and names of the
+#: words; the different log shares, and (packed) which a word has.
+_POOLED = pa.schema(
+    [("l_ids", pa.list_(pa.int64())), ("l_ends", pa.list_(pa.int64())), ("l_n", pa.int64()), ("l_d", pa.int64())]
+    + [(k, pa.binary()) for k in ("l_which", "l_symbol", "l_name")]
+    + [("l_shares", pa.list_(pa.float64())), ("l_of", pa.binary())]
+)
+_POOLED_SQL = "l_ids array<long>, l_ends array<long>, l_n long, l_d long, l_which binary, l_symbol binary, l_name binary, l_shares array<double>, l_of binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Numbers as bytes: all lowest bytes first, then all second ones and so on, compressed."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, decompressed_size=n * size, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+class Pool:
+    """A row of ``_POOLED``, by its columns."""
+
+    def __init__(self, row: dict):
+        self.ids, self.ends, self.n, self.row = row["l_ids"], np.array(row["l_ends"], np.int64), row["l_n"], row
+        self.which, self.sizes = unpacked(row["l_which"], self.n, np.int32), np.diff(self.ends, prepend=0)
+
+    def symbols(self) -> list[np.ndarray]:
+        """Every text's symbols."""
+        all_ = unpacked(self.row["l_symbol"], self.row["l_d"], np.int16)[self.which]
+        return [all_[i:j] for i, j in zip([0, *self.ends.tolist()], self.ends.tolist())]
+
+    def own(self) -> np.ndarray:
+        """Every token's log share in its symbol."""
+        return np.array(self.row["l_shares"], float)[unpacked(self.row["l_of"], self.row["l_d"], np.int32)][self.which]
+
+    def texts(self) -> np.ndarray:
+        """Every token's text."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return contexts(unpacked(self.row["l_name"], self.row["l_d"], np.uint64)[self.which], self.texts())
+
+    def totals(self, hashes: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+        """Every context's total, from the totals of the different ones in the order of their hashes."""
+        out = np.zeros(len(hashes), np.int64)
+        if len(hashes):
+            o, group = grouped(hashes)
+            out[o] = np.concatenate(held)[group]
+        return out
+
+
+def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order that sorts some hashes, number of each sorted one's group of equals)."""
+    bits = np.uint64(len(h).bit_length())
+    low = (np.uint64(1) << bits) - np.uint64(1)
+    # a sort of numbers is several times as fast as one of places: hashes with places in their low bits, right if the high bits tell them apart
+    o = (np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64)) & low).view(np.int64)
+    s = h[o]
+    if (s[1:] < s[:-1]).any():
+        o = np.argsort(h)
+        s = h[o]
+    return o, np.cumsum(np.concatenate([[False], s[1:] != s[:-1]]))
+
+
+def lowest(ranges: int) -> np.ndarray:
+    """The least hash of each range."""
+    return np.array([-(-(k << 32) // ranges) << 32 for k in range(ranges)], np.uint64)
 
 
 def contexts(names: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index, context, context with its word) of the remembered contexts, from the hashes of the words of some texts. ``text``: whose word it is."""
+    """(index, context, context with its word) of all contexts, from the hashes of the words of some texts. ``text``: whose word it is."""
     if len(names) < 3:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     u = np.uint64
     around = names[:-2] * u(0x9E3779B97F4A7C15) + (names[2:] ^ (names[2:] >> u(29))) * u(0xBF58476D1CE4E5B9)
     around = (around ^ (around >> u(32))) * u(0x94D049BB133111EB)
     around ^= around >> u(31)
-    at = np.flatnonzero((around % u(ONE_IN) == 0) & (text[:-2] == text[2:]))
+    at = np.flatnonzero(text[:-2] == text[2:])
     around = around[at]
     whole = (around ^ names[1:-1][at]) * u(0xD6E8FEB86659FD93)
     whole ^= whole >> u(32)
-    return at + 1, around.view(np.int64), whole.view(np.int64)
+    return at + 1, around, whole
 
 
 def initial(seed: int, unigram: np.ndarray) -> dict[str, np.ndarray]:
@@ -254,7 +326,11 @@ def token_log_probabilities(p: dict[str, np.ndarray], docs: list[np.ndarray], bl
 
 def recall(log_probability: np.ndarray, share: np.ndarray) -> np.ndarray:
     """What mixing in the remembered share of a word adds to its log-probability under the network."""
-    return np.log((1 - RECALL) * np.exp(log_probability) + RECALL * share) - log_probability
+    out = np.full(len(share), np.log(1 - RECALL))
+    k = share > 0
+    x = log_probability[k]
+    out[k] = np.log((1 - RECALL) * np.exp(x) + RECALL * share[k]) - x
+    return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,11 +345,31 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, scratch: common.Scratch, vocabulary: float = 8.0, rounds: int = 2, passes: int = 1, seed: int = 11) -> tuple[DataFrame, dict[str, np.ndarray]]:
-    """(doc_id, l_s, l_share: every row's symbols and summed log shares; the trained parameters)."""
+    """(doc_id, l_s, l_share, l_at, l_own: every row's symbols, summed log shares, places of contexts and log shares of their words; the trained parameters)."""
+    pools, model, _ = learned(docs, scratch, vocabulary, rounds, passes, seed)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from codeloom.llm import lm
+
+        for b in batches:
+            for row in b.to_pylist():
+                pool = lm.Pool(row)
+                own, ends = pool.own(), pool.ends.tolist()
+                parts = [own[i:j] for i, j in zip([0, *ends], ends)]
+                held = [pa.array([s.tobytes() for s in pool.symbols()], pa.binary()), pa.array([x.sum() for x in parts], pa.float64())]
+                places = pa.array([[*range(1, len(x) - 1)] for x in parts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(pool.ids, pa.int64()), *held, places, pa.array([x[1:-1] for x in parts], pa.list_(pa.float64()))], ["doc_id", "l_s", "l_share", "l_at", "l_own"])
+
+    return pools.mapInArrow(common.worker("lm", rows), "doc_id long, l_s binary, l_share double, l_at array<int>, l_own array<double>"), model
+
+
+def learned(docs: DataFrame, scratch: common.Scratch, vocabulary: float, rounds: int, passes: int, seed: int) -> tuple[DataFrame, dict[str, np.ndarray], int]:
+    """(l_pool and ``_POOLED``: all rows in pools; the trained parameters; how many tokens there are)."""
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("l_text"))
     counts = base.select("l_text").mapInArrow(common.worker("lm", _counts), "l_w binary, l_c long").groupBy("l_w").agg(F.sum("l_c").alias("l_c"))
     counts = scratch.save(counts, "words")
+    common.forget(spark)
     total = counts.agg(F.sum("l_c")).first()[0] or 0
     # the root of the corpus: 72,000 names for 0.5 GB, half a million for 30 GB, some tens of millions of bytes for all
     n_named = FREQUENT + int(vocabulary * total**0.5)
@@ -304,15 +400,12 @@ def fitted(docs: DataFrame, scratch: common.Scratch, vocabulary: float = 8.0, ro
         from codeloom.llm import lm, tokens
 
         symbols = lm.Symbols(*known.value)
-        for b in tokens.pooled(batches, "l_text"):
-            symbol, ends, sums, (upto, *held) = symbols.of(b.column("l_text"))
-            data, cuts = symbol.tobytes(), [0, *(2 * ends).tolist()]
-            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(x)) for x in held]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([data[i:j] for i, j in zip(cuts, cuts[1:])], pa.binary()), pa.array(sums, pa.float64()), *lists], ["doc_id", "l_s", "l_share", "l_at", "l_two", "l_three", "l_own"])
-
-    # words are looked up once: training and scoring read the symbols; a row's number is fixed once it is written
-    coded = base.mapInArrow(common.worker("lm", encode), "doc_id long, l_s binary, l_share double, l_at array<int>, l_two array<bigint>, l_three array<bigint>, l_own array<float>")
-    coded = scratch.save(coded.withColumn("l_id", F.monotonically_increasing_id()), "symbols")
+        for b in tokens.pooled(batches, "l_text", lm.POOL):
+            yield pa.RecordBatch.from_arrays(symbols.pool(b.column("doc_id"), b.column("l_text")), schema=lm._POOLED)
+
+    # words are looked up once: training and scoring read the pools; a pool's number is fixed once it is written
+    pools = base.mapInArrow(common.worker("lm", encode), _POOLED_SQL).withColumn("l_pool", F.monotonically_increasing_id())
+    pools = scratch.save(pools, "pools")
     model = initial(seed, unigram / unigram.sum())
     for k in range(rounds * passes):
         start = spark.sparkContext.broadcast(flat(model))  # a fixed size
@@ -322,70 +415,109 @@ def fitted(docs: DataFrame, scratch: common.Scratch, vocabulary: float = 8.0, ro
 
             p, n, state = lm.shaped(start.value), 0, np.full(len(start.value), 1e-3, np.float32)
             for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    part = [np.frombuffer(s, np.int16) for s in b.column("l_s").slice(at, 500).to_pylist()]
-                    if m := sum(map(len, part)):
-                        p, n = lm.train(p, part, rate=0.3 / (k + 1), seed=k, state=state), n + m
+                for row in b.to_pylist():
+                    pool = lm.Pool(row)
+                    mine = [s for s, i in zip(pool.symbols(), pool.ids) if lm.turn(s, i) % rounds == k % rounds]
+                    for at in range(0, len(mine), 500):
+                        part = mine[at : at + 500]
+                        if m := sum(map(len, part)):
+                            p, n = lm.train(p, part, rate=0.3 / (k + 1), seed=k, state=state), n + m
             if n:
                 v = lm.flat(p).astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v) + 1)), pa.array(np.append(v, n))], ["l_i", "l_v"])
 
-        # a row belongs to one round, by a hash of its symbols
-        mine = coded.where(F.pmod(F.xxhash64("doc_id", "l_s"), F.lit(rounds)) == k % rounds).select("l_s")
-        got = {r[0]: r[1] for r in mine.mapInArrow(common.worker("lm", local), "l_i long, l_v double").groupBy("l_i").agg(F.sum("l_v")).collect()}
+        got = {r[0]: r[1] for r in pools.select("l_ids", "l_ends", "l_n", "l_d", "l_which", "l_symbol").mapInArrow(common.worker("lm", local), "l_i long, l_v double").groupBy("l_i").agg(F.sum("l_v")).collect()}
         if got:
             v = np.array([got[i] for i in range(len(got))])
             model = shaped(v[:-1] / v[-1])
-    return coded, model
+    return pools, model, total
+
 
+def turn(symbols: np.ndarray, doc_id: int | None) -> int:
+    """A number that says in which round a row trains."""
+    import xxhash
 
-def remembered(coded: DataFrame, scratch: common.Scratch) -> DataFrame:
-    """(l_id, l_none, l_known): for each row, contexts that occur elsewhere with other words only, and (place, share, log share of the word in its symbol) of those with its word.
+    return xxhash.xxh3_64_intdigest(symbols.tobytes(), (doc_id or 0) & (1 << 64) - 1)
 
-    Frequent contexts are keys of partial aggregations and of a plain join, which adaptive execution splits.
+
+def remembered(pools: DataFrame, scratch: common.Scratch, ranges: int, kind: int) -> DataFrame:
+    """(l_pool, l_range, l_m, l_total): how often the different contexts of each pool occur in all of them (``kind`` 0), or those with their words (1).
+
+    ``l_total`` has the ``l_m`` totals (packed) of what the pool has in that range of hashes, in the order of the hashes. Ranges of kind 1 are numbered
+    on from those of kind 0.
     """
-    each = coded.select("l_id", F.explode(F.arrays_zip("l_at", "l_two", "l_three", "l_own")).alias("e"))
-    each = each.select("l_id", F.col("e.l_at").alias("at"), F.col("e.l_two").alias("two"), F.col("e.l_three").alias("three"), F.col("e.l_own").alias("own"))
-    three = scratch.save(each.groupBy("two", "three").agg(F.count("*").alias("c3")), "three")
-    two = scratch.save(three.groupBy("two").agg(F.sum("c3").alias("c2")).where("c2 > 1"), "two")
-    share = scratch.save(three.join(two, "two").select("two", "three", ((F.col("c3") - 1) / (F.col("c2") - 1)).alias("share")), "shares")
-    # what one text has, a bounded group
-    known = F.collect_list(F.when(F.col("share") > 0, F.struct("at", "share", "own")))
-    return each.join(share, ["two", "three"]).groupBy("l_id").agg(F.count_if(F.col("share") == 0).alias("l_none"), known.alias("l_known"))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from codeloom.llm import lm
+
+        least = lm.lowest(ranges)
+        for b in batches:
+            for row in b.to_pylist():
+                h, out = np.sort(lm.Pool(row).contexts()[1 + kind]), []
+                first = np.flatnonzero(np.concatenate([[len(h) > 0], h[1:] != h[:-1]])[: len(h)])
+                n, h = np.diff(first, append=len(h)), h[first]
+                cuts = np.append(np.searchsorted(h, least), len(h)).tolist()
+                for r, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if i < j:
+                        out.append((row["l_pool"], kind * ranges + r, j - i, lm.packed(np.diff(h[i:j], prepend=least[r])), lm.packed(n[i:j])))
+                for at in range(0, len(out), 100):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 100]), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["l_pool", "l_range", "l_m", "l_h", "l_c"])
+
+    def count(table: pa.Table) -> pa.Table:
+        from codeloom.llm import common, lm
+
+        common.enter("lm")
+        m = table.column("l_m").to_pylist()
+        least = lm.lowest(ranges)[table.column("l_range")[0].as_py() % ranges]
+        h = np.concatenate([least + np.cumsum(lm.unpacked(x.as_py(), n, np.uint64)) for x, n in zip(table.column("l_h"), m)])
+        c = np.concatenate([lm.unpacked(x.as_py(), n, np.int64) for x, n in zip(table.column("l_c"), m)])
+        o, group = lm.grouped(h)
+        c[o] = np.bincount(group, c[o]).astype(np.int64)[group]
+        ends = np.cumsum(m).tolist()
+        return table.select(["l_pool", "l_range", "l_m"]).append_column("l_total", pa.array([lm.packed(c[i:j]) for i, j in zip([0, *ends], ends)], pa.binary()))
+
+    sent = pools.select("l_pool", "l_ids", "l_ends", "l_n", "l_d", "l_which", "l_name").mapInArrow(common.worker("lm", send), "l_pool long, l_range long, l_m long, l_h binary, l_c binary")
+    # a range has as many entries as tokens at most, ``RANGE`` of them by the evenness of hashes
+    out = scratch.save(sent.groupBy("l_range").applyInArrow(count, "l_pool long, l_range long, l_m long, l_total binary"), f"totals{kind}")
+    del sent
+    common.forget(pools.sparkSession)
+    return out
 
 
 def score(docs: DataFrame, vocabulary: float = 8.0, rounds: int = 2, passes: int = 1, seed: int = 11) -> DataFrame:
     """doc_id, n_tokens, sum_logprob, mean_logprob, n_contexts, n_remembered: a row for every row of ``docs``.
 
-    ``n_contexts`` of a text may be remembered, ``n_remembered`` are, with their word. Words are ASCII-lower-cased runs without white space. Texts
+    ``n_contexts`` words of a text stand between two others, ``n_remembered`` of them between the same two elsewhere too. Words are ASCII-lower-cased runs without white space. Texts
     without words score 0.0 with a null mean; very long ones are scored in blocks; null doc_ids and repeated rows are kept, equal texts score
     alike up to rounding; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     common.ship(spark)
     scratch = common.Scratch(spark, "lm")
-    coded, model = fitted(docs, scratch, vocabulary, rounds, passes, seed)
+    pools, model, total = learned(docs, scratch, vocabulary, rounds, passes, seed)
+    ranges = max(1, -(-total // RANGE))
+    # one kind after the other: the shuffle files of the first are gone when the second is sent
+    totals = remembered(pools, scratch, ranges, 0).unionAll(remembered(pools, scratch, ranges, 1))
     final = spark.sparkContext.broadcast(flat(model))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from codeloom.llm import lm
+    def run(table: pa.Table, held: pa.Table) -> pa.Table:
+        from codeloom.llm import common, lm
 
+        common.enter("lm")
         p = lm.shaped(final.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                docs_ = [np.frombuffer(s, np.int16) for s in part.column("l_s").to_pylist()]
-                each, ends = lm.token_log_probabilities(p, docs_)
-                n = np.array([len(d) for d in docs_])
-                total = np.bincount(np.repeat(np.arange(len(n)), n), each, len(n)) + part.column("l_share").to_numpy()
-                total += pc.fill_null(part.column("l_none"), 0).to_numpy() * np.log(1 - lm.RECALL)
-                known = part.column("l_known")
-                held = pc.fill_null(pc.list_value_length(known), 0).to_numpy()
-                of = np.repeat(np.arange(len(n)), held)
-                place, share, own = (known.flatten().field(k).to_numpy() for k in range(3))
-                total += np.bincount(of, lm.recall(each[(ends - n)[of] + place] + own, share), len(n))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(np.round(total, 4)), part.column("l_n"), pa.array(held, pa.int64())], ["doc_id", "n_tokens", "sum_logprob", "n_contexts", "n_remembered"])
-
-    rows = coded.join(remembered(coded, scratch), "l_id", "left").select("doc_id", "l_s", "l_share", "l_none", "l_known", F.size("l_at").cast("long").alias("l_n"))
-    out = rows.mapInArrow(common.worker("lm", run), "doc_id long, n_tokens long, sum_logprob double, n_contexts long, n_remembered long")
+        got = sorted(zip(held.column("l_range").to_pylist(), held.column("l_m").to_pylist(), held.column("l_total").to_pylist()), key=lambda x: x[0])
+        pool = lm.Pool(table.to_pylist()[0])
+        at, *both = pool.contexts()
+        two, three = (pool.totals(h, [lm.unpacked(x, n, np.int64) for r, n, x in got if r // ranges == kind]) for kind, h in enumerate(both))
+        again = two > 1
+        at, share = at[again], (three[again] - 1) / (two[again] - 1)
+        own, docs_, of = pool.own(), pool.symbols(), pool.texts()
+        each = np.concatenate([np.zeros(0), *(lm.token_log_probabilities(p, docs_[i : i + 1000])[0] for i in range(0, len(docs_), 1000))]) + own
+        sums = np.bincount(of, each, len(docs_)) + np.bincount(of[at], lm.recall(each[at], share), len(docs_))
+        n = pool.sizes
+        columns = [pa.array(pool.ids, pa.int64()), pa.array(n), pa.array(np.round(sums, 4)), pa.array(np.maximum(n - 2, 0)), pa.array(np.bincount(of[at], share > 0, len(docs_)).astype(np.int64))]
+        return pa.table(columns, names=["doc_id", "n_tokens", "sum_logprob", "n_contexts", "n_remembered"])
+
+    both = pools.groupBy("l_pool").cogroup(totals.groupBy("l_pool"))
+    out = both.applyInArrow(run, "doc_id long, n_tokens long, sum_logprob double, n_contexts long, n_remembered long")
     return out.withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("sum_logprob") / F.col("n_tokens")))

@@ -648,6 +648,29 @@ def test_lm_remembers_what_the_rest_of_the_corpus_says(spark):
         assert abs(total - got[x["doc_id"]]["sum_logprob"]) < 1e-2 + 1e-4 * abs(total), x["doc_id"]
 
 
+def test_lm_counts_every_context(spark, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", 50)  # many ranges
+    r = random.Random(32)
+    pairs = [f"left{i} word{i} right{i}" for i in range(200)]
+    hot = [" ".join(["a"] * 400), " ".join(f"a n{i} a" for i in range(300))]
+    rows = [(i, t) for i, t in enumerate(pairs + pairs + hot + [" ".join(r.choices("a b c d".split(), k=r.randint(0, 90))) for _ in range(60)] + ["", "a", "a b", None])]
+    got = {x["doc_id"]: x for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert all((got[i]["n_contexts"], got[i]["n_remembered"]) == (1, 1) for i in range(400))
+    three = collections.Counter(x for _, t in rows for ws in [(t or "").split()] for x in zip(ws, ws[1:], ws[2:]))
+    for i, t in rows:
+        held = [*zip(ws := (t or "").split(), ws[1:], ws[2:])]
+        assert (got[i]["n_contexts"], got[i]["n_remembered"]) == (len(held), sum(three[x] > 1 for x in held))
+
+
+def test_lm_packs_and_groups_numbers():
+    r = np.random.default_rng(3)
+    for h in (np.zeros(0, np.uint64), np.array([5, 3, 5, 3, 4], np.uint64), r.integers(0, 300, 1000, np.uint64) << np.uint64(50)):
+        assert (lm.unpacked(lm.packed(h), len(h), np.uint64) == h).all()
+        if len(h):
+            o, group = lm.grouped(h)
+            assert (h[o] == np.sort(h)).all() and (group == np.unique(h[o], return_inverse=True)[1]).all()
+
+
 def _loss(p, docs):
     return -lm.log_probabilities(p, docs).sum() / sum(map(len, docs))
 
